@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm.common import table
 from treeloom.llm.language_id import op4
+from treeloom.llm.media import op5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_language_id": lambda spark, d: op4(table(spark, d, "documents")),
+        "op5_media_columns": lambda spark, d: op5(table(spark, d, "documents")),
     }
 
 
