@@ -11,11 +11,13 @@ from treeloom.llm.language_id import op4
 from treeloom.llm.media import op5
 from treeloom.llm.mixing import op6
 from treeloom.llm.packing import op1
+from treeloom.llm.token_counts import op2
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": lambda spark, d: op1(table(spark, d, "documents")),
+        "op2_token_counts": lambda spark, d: op2(table(spark, d, "documents")),
         "op4_language_id": lambda spark, d: op4(table(spark, d, "documents")),
         "op5_media_columns": lambda spark, d: op5(table(spark, d, "documents")),
         "op6_mixing_sources": lambda spark, d: op6(table(spark, d, "documents")),
