@@ -11,6 +11,7 @@ from treeloom.llm.language_id import op4
 from treeloom.llm.media import op5
 from treeloom.llm.mixing import op6
 from treeloom.llm.packing import op1
+from treeloom.llm.simhash import op10
 from treeloom.llm.token_counts import op2
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": lambda spark, d: op4(table(spark, d, "documents")),
         "op5_media_columns": lambda spark, d: op5(table(spark, d, "documents")),
         "op6_mixing_sources": lambda spark, d: op6(table(spark, d, "documents")),
+        "op10_simhash_near_dedup": lambda spark, d: op10(table(spark, d, "documents")),
     }
 
 
