@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm.common import table
+from treeloom.llm.fingerprint import op8
 from treeloom.llm.language_id import op4
 from treeloom.llm.media import op5
 from treeloom.llm.mixing import op6
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": lambda spark, d: op4(table(spark, d, "documents")),
         "op5_media_columns": lambda spark, d: op5(table(spark, d, "documents")),
         "op6_mixing_sources": lambda spark, d: op6(table(spark, d, "documents")),
+        "op8_document_fingerprints": lambda spark, d: op8(table(spark, d, "documents")),
         "op10_simhash_near_dedup": lambda spark, d: op10(table(spark, d, "documents")),
     }
 
