@@ -97,13 +97,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     return out
 
 
-def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", *, min_margin: float = 0.004) -> DataFrame:
+def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", *keep: str, min_margin: float = 0.004) -> DataFrame:
     """``lang_pred``, ``score`` (the margin) and ``rejected`` for each row's whole text.
 
     A text that is null, empty or without a letter is ``und`` with score 0 and rejected, as
     is every text when there are no dictionaries. Equal sizes go to the language first in
-    code-point order, with score 0. Rows come out as often as they went in; other columns
-    are not read.
+    code-point order, with score 0. Rows come out as often as they went in. Columns to
+    keep are returned in a struct ``kept``; others are not read.
     """
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,12 +111,12 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
         for batch in batches:
             found = [model.predict(x) for x in string_column(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), pa.array([x == UNDETERMINED or m < min_margin for x, m in found], pa.bool_())],
-                names=["doc_id", "lang_pred", "score", "rejected"],
+                [*(batch.column(k) for k in range(2, batch.num_columns)), batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), pa.array([x == UNDETERMINED or m < min_margin for x, m in found], pa.bool_())],
+                names=[*["kept"] * bool(keep), "doc_id", "lang_pred", "score", "rejected"],
             )
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
+    schema = T.StructType([*rows.schema.fields[2:], T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return rows.mapInArrow(classify, schema)
 
 

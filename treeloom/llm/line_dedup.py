@@ -114,17 +114,18 @@ def removed_lines(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     return first, similar
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, num: int = 4, den: int = 5) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str, num: int = 4, den: int = 5) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_removed`` and the ``text`` that is left of each row.
 
     Lines without a word are kept and match nothing. A null text stays null, with 0 lines;
     an empty one is one line without a word. Null ids come first in the order of documents.
     Rows of equal id are in order of a hash of their texts, and repeated rows (same id and
     text) are one document: each of them is left with the same lines. A document may end
-    with an empty text. Other columns are not read.
+    with an empty text. Columns to keep are returned in a struct ``kept``; others are not
+    read.
     """
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text_col).alias("tie"), F.col(text_col).cast("string").alias("text"))
-    first, similar = removed_lines(docs, num, den)
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text_col).alias("tie"), F.col(text_col).cast("string").alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
+    first, similar = removed_lines(docs.select("id", "tie", "text"), num, den)
     kept = _by_document(first, "nos").join(_by_document(similar, "gone"), ["id", "tie"], "left")
     kept = kept.select("id", "tie", F.coalesce(F.array_except("nos", "gone"), "nos").alias("nos"))
     rows = _computed(docs.join(kept, ["id", "tie"], "left"), lines=F.split("text", "\n"))
@@ -136,6 +137,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         (F.greatest(F.size("lines"), F.lit(0)) - F.size("order")).cast("long").alias("n_removed"),
         F.when(F.col("text").isNotNull(), F.array_join(F.transform("order", lambda i: F.get(F.col("lines"), i)), "\n")).alias("text"),
+        *(["kept"] if keep else []),
     )
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeloom.llm.common import checkpointed, shuffle_partitions, string_column
 from treeloom.llm.components import components
@@ -53,16 +54,17 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(2 * ones > len(first), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, for each row's whole text."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``doc_id``, kept columns and ``fp``, the fingerprint of the whole text as a signed long."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x, width, seed) for x in string_column(batch, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=schema.names)
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, schema)
 
 
 _BITS = np.arange(31)
@@ -167,7 +169,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def linked_components(prints: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` from a table of ``doc_id`` and ``fp``.
+    """The table of ``doc_id``, ``fp`` and what else it has, with ``component_id``.
 
     The component of a document is the smallest id that links reach, its own included;
     null ids count only where there are no others. Equal fingerprints are one node, so
@@ -177,7 +179,7 @@ def linked_components(prints: DataFrame) -> DataFrame:
     found = components(links(nodes)).select(F.col("node").alias("fp"), "root")
     named = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select(*prints.columns, "component_id")
 
 
 def op10(docs: DataFrame) -> DataFrame:
