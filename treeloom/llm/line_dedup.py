@@ -10,9 +10,10 @@ then line number) has a Jaccard similarity of at least ``num / den`` with it.
 * The prefixes are joined on tokens, under length, positional and bitmap filters. All are
   upper bounds of the overlap, so no similar pair is missed. The bitmap of a line has a
   bit flipped for each token; bits that differ bound the tokens that do.
-* Semi-joins keep one row for a line however many partners it has, so large groups of near
-  copies never make their pairs: first slim rows pick the lines that have a possible
-  partner, then those lines' words are compared.
+* Semi-joins keep one row for a line's token however many partners it has there, so large
+  groups of near copies never make their pairs: slim rows find the lines that may have a
+  partner, and on which tokens; a second semi-join of those rows alone carries the text,
+  compares words, and ends a line's search at its first match.
 """
 
 from __future__ import annotations
@@ -20,20 +21,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Slots of the rarity table. It is a literal of one byte a slot, at any size of input.
-SLOTS = 1 << 20
-CHUNK = 1024
+from treeloom.llm.common import shuffle_partitions
+
+#: Slots of the rarity table. It has one byte for each slot, at any size of input.
+SLOTS = 1 << 18
 SPACE = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 LINE = ["id", "tie", "no"]
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(line, SPACE), "")
 
 
-def _slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(SLOTS))
+def _slot(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
 
 def _computed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -44,33 +46,41 @@ def _computed(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A binary literal with the level of each slot's count: 3 levels for each doubling."""
-    words = docs.select(F.explode(F.split("text", SPACE)).alias("w")).where("w <> ''")
-    counts = words.groupBy(_slot(F.col("w")).alias("slot")).count()
-    every = docs.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("count"))
-    counts = counts.unionByName(every).groupBy("slot").agg(F.sum("count").alias("n"))
-    level = F.least(F.lit(127), 1 + F.floor(3 * F.log2(F.col("n") + 1.0))).cast("int")
-    chunks = counts.groupBy(F.floor(F.col("slot") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("slot", level.alias("level")))).alias("levels"))
-    rows = chunks.select("chunk", F.array_join(F.transform("levels", lambda x: F.chr(x["level"])), "").alias("levels")).collect()
-    return F.lit(bytearray("".join(r["levels"] for r in sorted(rows, key=lambda r: r["chunk"])), "latin-1"))
-
-
-def _key(word: Column, levels: Column) -> Column:
+    """The level of each slot's count, 3 for each doubling, as one array.
+
+    It is a scalar subquery, so it is computed once and never part of a plan's text. Every
+    slot is counted once more than its words, so that none is missing.
+    """
+    words = docs.select(F.explode(F.split("text", SPACE)).alias("w")).where("w <> ''").select(_slot(F.xxhash64("w")).alias("slot"))
+    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
+    counts = words.unionByName(every).groupBy("slot").count()
+    level = F.least(F.lit(127), F.floor(3 * F.log2("count"))).cast("tinyint")
+    table = counts.agg(F.sort_array(F.collect_list(F.struct("slot", level.alias("level")))).alias("levels"))
+    return table.select(F.transform("levels", lambda x: x["level"]).alias("levels")).scalar()
+
+
+def _key(hashed: Column, levels: Column) -> Column:
     """A token as a number: its level above 56 bits of its hash, so that rare ones are less."""
-    level = F.ascii(F.substring(levels, _slot(word).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << 56) - 1)))
+    level = F.coalesce(F.get(levels, _slot(hashed)), F.lit(0).cast("tinyint"))
+    return F.shiftleft(level.cast("long"), 56).bitwiseOR(hashed.bitwiseAND(F.lit((1 << 56) - 1)))
 
 
-def _postings(lines: DataFrame, levels: Column, num: int, den: int, *keep: str) -> DataFrame:
+def _postings(lines: DataFrame, levels: Column, num: int, den: int) -> DataFrame:
     """A row for each prefix token of each line: the token, its place, the line's size and
     bitmap. The prefix of n tokens is as long as lets a similar line avoid the rest."""
-    keys = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: _key(w, levels))))
-    sized = _computed(lines, keys=keys)
+    # The table's column has a single use in the next projection, into which it is merged;
+    # rows never carry it.
+    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    keys = F.sort_array(F.array_distinct(F.transform(hashes, lambda h: _key(h, F.col("__levels")))))
+    sized = lines.withColumn("__levels", levels).select(*LINE, keys.alias("keys"))
     size = F.size("keys")
     needed = F.ceil(size * float(num) / den - 1e-9).cast("int")  # of an equal overlap
-    bitmap = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    made = _computed(sized, n=size, bits=bitmap, prefix=F.slice("keys", F.lit(1), size - needed + 1))
-    return made.select(*LINE, *keep, "n", "bits", F.posexplode("prefix").alias("at", "token"))
+    half = lambda shift: F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, shift).bitwiseAND(F.lit(63)).cast("int"))))
+    # Of 64 bits, more than 50 tokens leave too few alike; the second 64 are for those.
+    made = _computed(sized, n=size, bits=half(0), more=F.when(size > 50, half(6)), prefix=F.slice("keys", F.lit(1), size - needed + 1))
+    rows = made.select(*LINE, "n", "bits", "more", F.posexplode("prefix").alias("at", "key"))
+    # Half of a key serves to meet on: tokens that share it by chance are told apart later.
+    return rows.select(*LINE, "n", "bits", "more", "at", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("token"))
 
 
 def _may_match(num: int, den: int) -> str:
@@ -79,39 +89,39 @@ def _may_match(num: int, den: int) -> str:
         AND (y.id < x.id OR y.id = x.id AND (y.tie < x.tie OR y.tie = x.tie AND y.no < x.no))
         AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)
         AND {num + den} * least(x.n - x.at, y.n - y.at) >= {num} * (x.n + y.n)
-        AND {num + den} * (x.n + y.n - bit_count(x.bits ^ y.bits)) >= {2 * num} * (x.n + y.n)"""
+        AND {num + den} * (x.n + y.n - bit_count(x.bits ^ y.bits)) >= {2 * num} * (x.n + y.n)
+        AND (x.more IS NULL OR y.more IS NULL OR {num + den} * (x.n + y.n - bit_count(x.more ^ y.more)) >= {2 * num} * (x.n + y.n))"""
 
 
-def _by_document(lines: DataFrame, name: str) -> DataFrame:
-    return lines.groupBy("id", "tie").agg(F.collect_list("no").alias(name))
+def _by_document(lines: DataFrame, name: str, *more: str) -> DataFrame:
+    return lines.groupBy("id", "tie").agg(F.collect_list(F.struct("no", *more)).alias(name))
 
 
-def _picked(docs: DataFrame, numbers: DataFrame, *more: str) -> DataFrame:
-    """The lines of documents that ``numbers`` lists as ``nos``: structs that have ``no``."""
-    rows = _computed(docs.join(numbers, ["id", "tie"]), lines=F.split("text", "\n")).select("id", "tie", "lines", "nos")
+def _picked(docs: DataFrame, lines: DataFrame, *more: str) -> DataFrame:
+    """The lines of documents that ``lines`` lists as ``nos``: structs that have ``no``."""
+    rows = _computed(docs.join(lines, ["id", "tie"]), lines=F.split("text", "\n")).select("id", "tie", "lines", "nos")
     picked = rows.select("id", "tie", F.explode(F.transform("nos", lambda x: F.struct(x.alias("x"), F.get(F.col("lines"), x["no"]).alias("line")))).alias("p"))
     return picked.select("id", "tie", F.col("p.x.no").alias("no"), *(F.col(f"p.x.{k}").alias(k) for k in more), "p.line")
 
 
 def removed_lines(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """First occurrences of different lines, and those of them that are similar to an
-    earlier line; both as ``id``, ``tie``, ``no``."""
+    """First occurrences of different lines, by document as ``nos``, and those of them that
+    are similar to an earlier line, as ``id``, ``tie``, ``no``."""
     lines = docs.select("id", "tie", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(HAS_WORD))
     hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct(*LINE).alias("at"))
-    first = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.*")
+    first = _by_document(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.*"), "nos")
     levels = rarity(docs)
-    listed = first.groupBy("id", "tie").agg(F.collect_list(F.struct("no")).alias("nos"))
-    slim = _postings(_picked(docs, listed), levels, num, den)
+    slim = _postings(_picked(docs, first), levels, num, den)
     may = F.expr(_may_match(num, den))
     later = slim.alias("x").join(slim.alias("y"), may, "left_semi")
-    earlier = slim.alias("y").join(later.alias("x"), may, "left_semi")
-    ends = later.select(*LINE, F.lit(True).alias("late")).unionByName(earlier.select(*LINE, F.lit(False).alias("late"))).groupBy(*LINE).agg(F.max("late").alias("late"), F.min("late").alias("both"))
-    possible = ends.groupBy("id", "tie").agg(F.collect_list(F.struct("no", "late", (~F.col("both")).alias("early"))).alias("nos"))
-    full = _postings(_picked(docs, possible, "late", "early"), levels, num, den, "line", "late", "early")
-    overlap = F.size(F.array_intersect(F.array_distinct(_words(F.col("x.line"))), F.array_distinct(_words(F.col("y.line")))))
-    alike = may & (overlap * (num + den) >= num * (F.col("x.n") + F.col("y.n")))
-    similar = full.where("late").alias("x").join(full.where("early").alias("y"), alike, "left_semi").select(*LINE).distinct()
-    return first, similar
+    earlier = slim.alias("y").join(slim.alias("x"), may, "left_semi")
+    rest = ["token", "n", "bits", "more", "at"]
+    parts = shuffle_partitions(docs.sparkSession)
+    # The lines' text is dealt, which is smaller than their words, and split once there.
+    full = lambda rows: _picked(docs, _by_document(rows, "nos", *rest), *rest).repartition(parts, "token").select(*LINE, *rest, F.array_distinct(_words(F.col("line"))).alias("words"))
+    alike = F.size(F.array_intersect("x.words", "y.words")) * (num + den) >= num * (F.col("x.n") + F.col("y.n"))
+    similar = full(later).alias("x").join(full(earlier).alias("y"), may & alike, "left_semi")
+    return first, similar.select(*LINE).distinct()
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str, num: int = 4, den: int = 5) -> DataFrame:
@@ -124,10 +134,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     with an empty text. Columns to keep are returned in a struct ``kept``; others are not
     read.
     """
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text_col).alias("tie"), F.col(text_col).cast("string").alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    # Texts have a part in the order only where ids repeat.
+    repeated = not df.groupBy(key.alias("id")).count().where("count > 1").isEmpty()
+    docs = df.select(key.alias("id"), (F.hash(text_col) if repeated else F.lit(0)).alias("tie"), F.col(text_col).cast("string").alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
     first, similar = removed_lines(docs.select("id", "tie", "text"), num, den)
-    kept = _by_document(first, "nos").join(_by_document(similar, "gone"), ["id", "tie"], "left")
-    kept = kept.select("id", "tie", F.coalesce(F.array_except("nos", "gone"), "nos").alias("nos"))
+    kept = first.join(_by_document(similar, "gone"), ["id", "tie"], "left")
+    kept = kept.select("id", "tie", F.coalesce(F.array_except("nos.no", "gone.no"), "nos.no").alias("nos"))
     rows = _computed(docs.join(kept, ["id", "tie"], "left"), lines=F.split("text", "\n"))
     blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~F.get(F.col("lines"), i).rlike(HAS_WORD))
     none = F.array().cast("array<int>")
