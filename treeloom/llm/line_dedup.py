@@ -25,6 +25,8 @@ from treeloom.llm.common import shuffle_partitions
 
 #: Slots of the rarity table. It has one byte for each slot, at any size of input.
 SLOTS = 1 << 18
+#: Lines of more tokens have bitmaps of 192 bits.
+WIDE = 90
 SPACE = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 LINE = ["id", "tie", "no"]
@@ -75,22 +77,30 @@ def _postings(lines: DataFrame, levels: Column, num: int, den: int) -> DataFrame
     sized = lines.withColumn("__levels", levels).select(*LINE, keys.alias("keys"))
     size = F.size("keys")
     needed = F.ceil(size * float(num) / den - 1e-9).cast("int")  # of an equal overlap
-    half = lambda shift: F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, shift).bitwiseAND(F.lit(63)).cast("int"))))
-    # Of 64 bits, more than 50 tokens leave too few alike; the second 64 are for those.
-    made = _computed(sized, n=size, bits=half(0), more=F.when(size > 50, half(6)), prefix=F.slice("keys", F.lit(1), size - needed + 1))
-    rows = made.select(*LINE, "n", "bits", "more", F.posexplode("prefix").alias("at", "key"))
+    # A token flips one bit of 64, or, as 64 leave too little to tell long lines apart, of
+    # 192; the three words of a long line's bitmap together make the one of a short line.
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1023)) % 3
+    none = F.lit(0).cast("long")
+    word = lambda which: F.aggregate("keys", none, lambda acc, k: acc.bitwiseXOR(F.when(part(k) == which, bit(k)).otherwise(none)))
+    short = F.aggregate("keys", none, lambda acc, k: acc.bitwiseXOR(bit(k)))
+    long = size > WIDE
+    made = _computed(sized, n=size, bits=F.when(long, word(0)).otherwise(short), bits2=F.when(long, word(1)), bits3=F.when(long, word(2)), prefix=F.slice("keys", F.lit(1), size - needed + 1))
+    rows = made.select(*LINE, "n", "bits", "bits2", "bits3", F.posexplode("prefix").alias("at", "key"))
     # Half of a key serves to meet on: tokens that share it by chance are told apart later.
-    return rows.select(*LINE, "n", "bits", "more", "at", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("token"))
+    return rows.select(*LINE, "n", "bits", "bits2", "bits3", "at", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("token"))
 
 
 def _may_match(num: int, den: int) -> str:
     """Of a line x and an earlier line y that share a token: whether they can be similar."""
+    whole = "({0}.bits ^ coalesce({0}.bits2 ^ {0}.bits3, 0))"
+    differ = f"""CASE WHEN x.bits2 IS NULL OR y.bits2 IS NULL THEN bit_count({whole.format("x")} ^ {whole.format("y")})
+        ELSE bit_count(x.bits ^ y.bits) + bit_count(x.bits2 ^ y.bits2) + bit_count(x.bits3 ^ y.bits3) END"""
     return f"""x.token = y.token
         AND (y.id < x.id OR y.id = x.id AND (y.tie < x.tie OR y.tie = x.tie AND y.no < x.no))
         AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)
         AND {num + den} * least(x.n - x.at, y.n - y.at) >= {num} * (x.n + y.n)
-        AND {num + den} * (x.n + y.n - bit_count(x.bits ^ y.bits)) >= {2 * num} * (x.n + y.n)
-        AND (x.more IS NULL OR y.more IS NULL OR {num + den} * (x.n + y.n - bit_count(x.more ^ y.more)) >= {2 * num} * (x.n + y.n))"""
+        AND {num + den} * (x.n + y.n - {differ}) >= {2 * num} * (x.n + y.n)"""
 
 
 def _by_document(lines: DataFrame, name: str, *more: str) -> DataFrame:
@@ -115,7 +125,7 @@ def removed_lines(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     may = F.expr(_may_match(num, den))
     later = slim.alias("x").join(slim.alias("y"), may, "left_semi")
     earlier = slim.alias("y").join(slim.alias("x"), may, "left_semi")
-    rest = ["token", "n", "bits", "more", "at"]
+    rest = ["token", "n", "bits", "bits2", "bits3", "at"]
     parts = shuffle_partitions(docs.sparkSession)
     # The lines' text is dealt, which is smaller than their words, and split once there.
     full = lambda rows: _picked(docs, _by_document(rows, "nos", *rest), *rest).repartition(parts, "token").select(*LINE, *rest, F.array_distinct(_words(F.col("line"))).alias("words"))
@@ -137,13 +147,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     # Texts have a part in the order only where ids repeat.
     repeated = not df.groupBy(key.alias("id")).count().where("count > 1").isEmpty()
-    docs = df.select(key.alias("id"), (F.hash(text_col) if repeated else F.lit(0)).alias("tie"), F.col(text_col).cast("string").alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
+    docs = df.select(key.alias("id"), (F.hash(text_col) if repeated else F.lit(0)).alias("tie"), F.col(text_col).cast("string").alias("text"), *([F.struct(*keep).alias("kept")] if keep and repeated else []))
     first, similar = removed_lines(docs.select("id", "tie", "text"), num, den)
     kept = first.join(_by_document(similar, "gone"), ["id", "tie"], "left")
     kept = kept.select("id", "tie", F.coalesce(F.array_except("nos.no", "gone.no"), "nos.no").alias("nos"))
     rows = _computed(docs.join(kept, ["id", "tie"], "left"), lines=F.split("text", "\n"))
     blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~F.get(F.col("lines"), i).rlike(HAS_WORD))
     none = F.array().cast("array<int>")
+    if keep and not repeated:
+        # Joined by id at the end, they leave the dealt texts the same for all uses.
+        rows = rows.join(df.select(key.alias("id"), F.lit(0).alias("tie"), F.struct(*keep).alias("kept")), ["id", "tie"])
     rows = _computed(rows, order=F.sort_array(F.concat(F.coalesce("nos", none), F.coalesce(blank, none))))
     return rows.select(
         F.when(F.col("id") != F.lit(-(1 << 63)), F.col("id")).alias("doc_id"),
