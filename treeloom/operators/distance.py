@@ -158,7 +158,9 @@ def distances(pairs: DataFrame, costs: CostModel | dict | None = None, algorithm
     model = CostModel.of(costs)
     columns = [x for x in pairs.columns if x not in ("algorithm", "ted", "matched")]
     packed = lambda s: F.struct(*(F.col(f"{s}_nodes.{k}").alias(k) for k in ("label", "node_type", "lml"))).alias(f"__{s}")
-    rows = pairs.select(*columns, packed("src"), packed("dst"))
+    # A number of partitions that is asked for is not merged again by their bytes.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.select(*columns, packed("src"), packed("dst")).repartition(parts, "src", "dst")
     schema = T.StructType([*pairs.select(*columns).schema.fields, T.StructField("algorithm", T.StringType()), T.StructField("ted", T.DoubleType()), *[T.StructField("matched", _MATCHED)] * matched])
     pairs_type = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
 
