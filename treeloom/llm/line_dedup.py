@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from treeloom.llm.common import shuffle_partitions
 
 #: Slots of the rarity table. It has one byte for each slot, at any size of input.
-SLOTS = 1 << 18
+SLOTS = 1 << 17
 #: Lines of more tokens have bitmaps of 192 bits.
 WIDE = 90
 SPACE = r"[\x20\x09-\x0D]+"
