@@ -46,12 +46,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id.
+    """One document of each group of near copies: the one of the smallest id, null ids last.
 
-    Of different rows with that id, the one whose hash is least stays; of equal ones, one.
+    Of a group's different rows with that id, the one whose hash is least stays; of equal
+    ones, one. Rows in different groups do not matter to each other, whatever their ids.
     """
     prints = checkpointed(fingerprints(docs.withColumn("__row", _whole(docs)), "doc_id", "text", "__row"))
-    least = linked_components(prints).where("doc_id <=> component_id").groupBy("component_id").agg(F.min("__row").alias("__row"))
+    least = linked_components(prints).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row"))
     kept = docs.withColumn("__row", _whole(docs)).join(least.select("__row"), "__row", "left_semi").drop("__row")
     return kept.dropDuplicates() if _has_repeats(prints.select("__row")) else kept
 

@@ -75,3 +75,11 @@ def test_edges(spark):
     again = stage["simhash_near_dedup"](spark, df, "")
     assert sorted(str(r["doc_id"]) for r in again.collect()) == ["1", "3", "5", "None"]
     assert stage["mix_sources"](spark, df, "").count() >= 1
+
+
+def test_null_and_repeated_ids_of_unrelated_texts(spark):
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(40)) for w in ("red", "blue", "green", "grey"))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (12, d), (13, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r["doc_id"], r["text"]) for r in dict(P.STAGES)["simhash_near_dedup"](spark, df, "").collect()]
+    assert sorted(out, key=str) == sorted([(None, a), (None, b), (5, c), (5, d)], key=str)

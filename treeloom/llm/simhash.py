@@ -169,17 +169,18 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def linked_components(prints: DataFrame) -> DataFrame:
-    """The table of ``doc_id``, ``fp`` and what else it has, with ``component_id``.
+    """The table of ``doc_id``, ``fp`` and what else it has, with ``component_id`` and ``root``.
 
     The component of a document is the smallest id that links reach, its own included;
-    null ids count only where there are no others. Equal fingerprints are one node, so
-    copies are never compared with each other.
+    null ids count only where there are no others. Its root is one of its fingerprints and
+    tells it from all others, also where ids are null or repeat. Equal fingerprints are one
+    node, so copies are never compared with each other.
     """
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(nodes)).select(F.col("node").alias("fp"), "root")
     named = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select(*prints.columns, "component_id")
+    return prints.join(named.join(least, "root").select("fp", "component_id", "root"), "fp").select(*prints.columns, "component_id", "root")
 
 
 def op10(docs: DataFrame) -> DataFrame:
