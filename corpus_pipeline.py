@@ -17,6 +17,7 @@ from treeloom.llm.language_id import fit, identify, trained_on
 from treeloom.llm.line_dedup import HAS_WORD, dedup_lines
 from treeloom.llm.mixing import mix
 from treeloom.llm.packing import pack_documents, words
+from treeloom.llm.shingle_sets import roots
 from treeloom.llm.simhash import fingerprints, linked_components
 
 
@@ -48,11 +49,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest id, null ids last.
 
-    Of a group's different rows with that id, the one whose hash is least stays; of equal
-    ones, one. Rows in different groups do not matter to each other, whatever their ids.
+    Near copies are linked by fingerprints of 3 differing bits at most, or by sets of
+    five-word shingles whose Jaccard similarity is 0.8 at least. Of a group's different rows
+    with that id, the one whose hash is least stays; of equal ones, one. Rows in different
+    groups do not matter to each other, whatever their ids.
     """
-    prints = checkpointed(fingerprints(docs.withColumn("__row", _whole(docs)), "doc_id", "text", "__row"))
-    least = linked_components(prints).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row"))
+    rows = docs.select(*docs.columns, _whole(docs).alias("__row"), F.xxhash64("text").alias("__text"))
+    prints = checkpointed(linked_components(checkpointed(fingerprints(rows, "doc_id", "text", "__row", "__text"))).select("doc_id", "__row", "__text", "root"))
+    least = prints.groupBy("root").agg(F.min("__text").alias("v"))
+    linked = checkpointed(prints.join(least, "root").where("__text <> v").select(F.col("__text").alias("u"), "v").distinct())
+    found = roots(rows.select(F.col("__text").alias("node"), "text"), linked, prints.count())
+    if found is not None:
+        prints = prints.join(found.select(F.col("node").alias("__text"), F.col("root").alias("__joined")), "__text", "left").withColumn("root", F.coalesce("__joined", "__text"))
+    least = prints.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row"))
     kept = docs.withColumn("__row", _whole(docs)).join(least.select("__row"), "__row", "left_semi").drop("__row")
     return kept.dropDuplicates() if _has_repeats(prints.select("__row")) else kept
 
