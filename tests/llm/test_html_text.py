@@ -61,3 +61,14 @@ def test_rows(spark):
     out = sorted((r["page_id"] or 0, r["n_chars"]) for r in op9(df).collect())
     assert out == [(0, 0), (1, len(P.strip())), (1, len(P.strip())), (2, 0), (4, len(("word, " * 100_000).strip()))]
     assert op9(df.where("false")).collect() == []
+
+
+def test_wrappers_with_names_of_what_is_outside():
+    article = f"<h1>Heading</h1><p>{P}</p><p>{Q}</p>"
+    wanted = f"Heading\n\n{P.strip()}\n\n{Q.strip()}"
+    for start, end in [("<form action=x>", "</form>"), *((f'<div class="{x}">', "</div>") for x in ("has-sidebar", "with-sidebar", "no-sidebar", "ad-free", "hidden-xs"))]:
+        assert main_text(page(f"{start}{MENU}<div>{article}</div>{end}<footer>&copy; x</footer>")) == wanted
+        assert main_text(page(f'{start}<article>{article}</article><div id="comments"><article>{Q}</article></div>{end}')) == wanted
+    assert main_text(page(f'<div class="has-sidebar"><div>{article}</div><div class="sidebar"><p>{Q}</p></div></div>')) == wanted
+    assert main_text(page(f'<div class="ad-free"><p>{P}</p></div><div class="ad-free"><p>{P}</p></div>')) == f"{P.strip()}\n\n{P.strip()}"
+    assert main_text(page(f'<article>{article}</article><div id="comments"><article>{P * 3}</article></div>')) == wanted

@@ -65,28 +65,44 @@ class Block(NamedTuple):
     around: tuple[int, ...]
     outside: bool
     link_chars: int
+    #: Elements around it that may be outside, from the root down: the number; the share of
+    #: the page's text above which it is inside all the same; whether an article or main
+    #: element lies between it and the block.
+    doubtful: tuple[tuple[int, float, bool], ...]
 
 
-def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element says by name, class, id or role that it is no article."""
-    if tag in OUTSIDE:
+#: Shares of the page's text: of an element that is outside by a whole word of its class or
+#: id, and of one that is outside as a form or by a part of such a word.
+BY_WORD, BY_PART = 0.9, 0.5
+
+
+def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool | float:
+    """Whether an element says by name, class, id or role that it is no article.
+
+    If only its class or id says so, or that it is a form, it is the share of the page's
+    text above which the element holds the article all the same.
+    """
+    if tag in OUTSIDE and tag != "form":
         return True
+    share = BY_PART if tag == "form" else 0.0
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return share
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "")
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
+        if name == "role" and value.lower() == "form":
+            share = max(share, BY_PART)
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             for word in value.split():
                 parts = [x.lower() for x in NAME_PARTS.findall(word)]
-                if word.lower() in BOILERPLATE or parts and (parts[0] in BOILERPLATE or parts[-1] in BOILERPLATE):
-                    return True
-                if not in_article and (word.lower() in HEADS or parts and parts[0] in ("site", "page", "global") and parts[-1] in HEADS):
-                    return True
-    return False
+                if word.lower() in BOILERPLATE or not in_article and word.lower() in HEADS:
+                    share = BY_WORD
+                elif parts and (parts[0] in BOILERPLATE or parts[-1] in BOILERPLATE or not in_article and parts[0] in ("site", "page", "global") and parts[-1] in HEADS):
+                    share = max(share, BY_PART)
+    return share
 
 
 def blocks(html: str) -> list[Block]:
@@ -97,7 +113,7 @@ def blocks(html: str) -> list[Block]:
     header inside an article is its own heading, any other header is outside.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    stack: list[tuple[str, int, bool | float]] = [("", 0, False)]
     text: list[str] = []
     inline = link = 0
     number = 0
@@ -108,7 +124,8 @@ def blocks(html: str) -> list[Block]:
         if text:
             found = SPACE.sub(" ", unescape("".join(text))).strip()
             if found:
-                out.append(Block(found, "/".join(x for x, _, _ in stack if x in BLOCKS or not x), tuple(n for _, n, _ in stack), stack[-1][2], link))
+                doubtful = tuple((n, share, any(x in ("article", "main") for x, _, _ in stack[at:])) for at, (_, n, share) in enumerate(stack) if share and share is not True)
+                out.append(Block(found, "/".join(x for x, _, _ in stack if x in BLOCKS or not x), tuple(n for _, n, _ in stack), any(x is True for _, _, x in stack), link, doubtful))
             text.clear()
         link = 0
 
@@ -176,7 +193,7 @@ def blocks(html: str) -> list[Block]:
             continue
         number += 1
         in_article = any(x in ("article", "main") for x, _, _ in stack)
-        outside = stack[-1][2] or _boilerplate(tag, m[3], in_article) or tag == "header" and not in_article
+        outside = tag == "header" and not in_article or _boilerplate(tag, m[3], in_article)
         stack.append((tag, number, outside))
     flush()
     return out
@@ -200,10 +217,44 @@ def path_scores(found: list[Block]) -> dict[str, float]:
     return {x: t * (1 + m) for x, t, m in zip(paths, by_text, by_marks)}
 
 
+def inside(found: list[Block]) -> list[Block]:
+    """The blocks of elements that are not outside.
+
+    An element that is outside by class, by id or as a form only is inside if it holds most
+    of the text, or if it holds articles and none stands outside of such elements. Those
+    further out are judged first. If nothing is left, all such elements are inside.
+    """
+    found = [b for b in found if not b.outside]
+    if not any(b.doubtful for b in found):
+        return found
+    total = sum(len(b.text) for b in found)
+    mass: dict[int, int] = {}
+    share: dict[int, float] = {}
+    above: dict[int, list[int]] = {}
+    holders: set[int] = set()
+    for b in found:
+        for k, (n, least, named) in enumerate(b.doubtful):
+            mass[n] = mass.get(n, 0) + len(b.text)
+            share[n], above[n] = least, [x for x, _, _ in b.doubtful[:k]]
+            if named:
+                holders.add(n)
+    cleared: set[int] = set()
+
+    def kept() -> list[Block]:
+        return [b for b in found if all(n in cleared for n, _, _ in b.doubtful)]
+
+    def has_article() -> bool:
+        return any({"article", "main"} & set(b.path.split("/")) for b in kept())
+
+    for n in sorted(share):  # by the order of start tags
+        if cleared.issuperset(above[n]) and (mass[n] > share[n] * total or n in holders and not has_article()):
+            cleared.add(n)
+    return kept() or found
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks joined by two line ends; empty if there are none."""
-    found = blocks(html or "")
-    inner = [b for b in found if not b.outside]
+    inner = inside(blocks(html or ""))
     if not inner:
         return ""
     scores = path_scores(inner)
