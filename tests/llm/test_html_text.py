@@ -72,3 +72,8 @@ def test_wrappers_with_names_of_what_is_outside():
     assert main_text(page(f'<div class="has-sidebar"><div>{article}</div><div class="sidebar"><p>{Q}</p></div></div>')) == wanted
     assert main_text(page(f'<div class="ad-free"><p>{P}</p></div><div class="ad-free"><p>{P}</p></div>')) == f"{P.strip()}\n\n{P.strip()}"
     assert main_text(page(f'<article>{article}</article><div id="comments"><article>{P * 3}</article></div>')) == wanted
+
+
+def test_formulas_stay_in_their_paragraph():
+    math = '<math xmlns="http://www.w3.org/1998/Math/MathML"><mi>a</mi><mo>=</mo><mn>2</mn></math>'
+    assert main_text(page(f"<article><p>{P}Let {math} hold. {Q}</p></article>")) == f"{P}Let a=2 hold. {Q}".strip()

@@ -42,7 +42,7 @@ CLOSED_BY = {
 #: Elements past which an end tag or an implied end does not look.
 SCOPES = frozenset({"html", "body", "table", "td", "th", "ul", "ol", "dl", "article", "section", "main", "aside", "nav", "header", "footer", "form", "div"})
 #: Elements that are never part of an article.
-OUTSIDE = frozenset({"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "search", "object", "svg", "canvas", "audio", "video", "input", "datalist", "head", "math"})
+OUTSIDE = frozenset({"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "search", "object", "svg", "canvas", "audio", "video", "input", "datalist", "head"})
 #: Words of a class or id that name what is not an article.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs byline-ads comment comments commentlist commentary-list cookie cookies consent copyright discussion disqus footer footnav gdpr hidden menu menubar modal nav navbar navigation newsletter notice notices alert overlay pagination pager paywall popup popover promo promos promotion promoted recommend recommended recommendations related replies reply respond share sharing shares sidebar sidenav sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags tagcloud teaser toolbar tooltip topbar widget widgets outbrain taboola".split()
