@@ -1,18 +1,25 @@
 """Main text of web pages by tag-path ratios (operator 9).
 
 A page is read once into text blocks, each with the path of tags from the root to it.
-Length, words, punctuation and link text are summed for each path; a path's ratios of
-text to blocks and of punctuation to blocks are smoothed over neighbouring paths in page
-order and fused into one score. Paths above a threshold of the page's own scores are
-content; from them the element that holds most of the content is found, and its blocks
-outside menus, asides, forms and the like are the article.
+Length and punctuation without links are summed for each path. A path's ratios of text to
+blocks and of punctuation to blocks are smoothed over its neighbours below the same
+element and fused into one score; paths above a threshold, set by the page's own scores,
+are content. The element that holds most of the content is the article, and what stands
+in it of other paths goes if it is links or is named as something else.
+
+Names (a class, an id) never decide alone: an element on the path that is named as an
+advert, a comment and so on lowers its score, and the threshold follows the scores. Only
+what HTML itself says to be no article, by tag or role, is left out before.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from math import sqrt
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -22,157 +29,174 @@ from pyspark.sql import functions as F
 from treeloom.llm.common import string_column
 
 # Fixed values of the HTML standard.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
-)
-#: A start tag of the key's set ends an open element of the key.
-CLOSED_BY = {
-    "p": BLOCKS - {"option", "optgroup", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"},
-    "li": frozenset({"li"}),
-    "dt": frozenset({"dt", "dd"}),
-    "dd": frozenset({"dt", "dd"}),
-    "tr": frozenset({"tr", "tbody", "tfoot", "thead"}),
-    "td": frozenset({"td", "th", "tr", "tbody", "tfoot", "thead"}),
-    "th": frozenset({"td", "th", "tr", "tbody", "tfoot", "thead"}),
-    "option": frozenset({"option", "optgroup"}),
-    "h1": frozenset(), "h2": frozenset(), "h3": frozenset(), "h4": frozenset(), "h5": frozenset(), "h6": frozenset(),
-}
-#: Elements past which an end tag or an implied end does not look.
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
+#: Elements whose content is not markup, or is not shown.
+RAW = frozenset({"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"})
+TEXTUAL = frozenset({"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "caption", "figcaption", "summary"})
+CONTAINERS = frozenset(
+    {"address", "article", "aside", "body", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figure", "footer", "form", "frameset", "head", "header", "hgroup", "html", "legend", "main", "menu", "nav", "ol", "optgroup", "option", "search", "section", "table", "tbody", "tfoot", "thead", "tr", "ul"}
+)
+BLOCKS = TEXTUAL | CONTAINERS
+IN_HEAD = frozenset({"base", "basefont", "bgsound", "head", "html", "link", "meta", "noscript", "script", "style", "template", "title"})
+CELLS, ROWS, ITEMS = ("td", "th"), ("tr", "td", "th"), ("dt", "dd")
+#: Open elements that a start tag ends; a block ends a paragraph besides.
+ENDS = {"li": ("li",), "dt": ITEMS, "dd": ITEMS, "td": CELLS, "th": CELLS, "tr": ROWS, "option": ("option",), "optgroup": ("option", "optgroup")} | {x: (*ROWS, "thead", "tbody", "tfoot") for x in ("thead", "tbody", "tfoot")}
+IN_PARAGRAPH = frozenset({"option", "optgroup", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"})
+#: Elements past which an implied end, or the end tag of no block, does not look.
 SCOPES = frozenset({"html", "body", "table", "td", "th", "ul", "ol", "dl", "article", "section", "main", "aside", "nav", "header", "footer", "form", "div"})
-#: Elements that are never part of an article.
-OUTSIDE = frozenset({"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "search", "object", "svg", "canvas", "audio", "video", "input", "datalist", "head"})
-#: Words of a class or id that name what is not an article.
-BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs byline-ads comment comments commentlist commentary-list cookie cookies consent copyright discussion disqus footer footnav gdpr hidden menu menubar modal nav navbar navigation newsletter notice notices alert overlay pagination pager paywall popup popover promo promos promotion promoted recommend recommended recommendations related replies reply respond share sharing shares sidebar sidenav sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags tagcloud teaser toolbar tooltip topbar widget widgets outbrain taboola".split()
-)
-#: Such words count outside an article only: inside, they name the article's own heading.
-HEADS = frozenset({"header", "head", "masthead", "top"})
+#: Elements and roles that are never part of an article; some of them stand inside a line.
+OUTSIDE = frozenset({"nav", "aside", "footer", "menu", "dialog", "search", "datalist", "head", "button", "select", "object", "svg", "canvas", "audio", "video"})
 ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"})
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Words that name what is no article, and words that may stand beside them in a name.
+NAMING = frozenset(
+    {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related", "replies", "share", "sharing", "sidebar", "social", "sponsored", "subscribe"}
+)
+BESIDE = frozenset({"area", "bar", "block", "bottom", "box", "container", "global", "item", "left", "links", "list", "main", "page", "right", "section", "site", "slot", "top", "unit", "wrap", "wrapper"})
+#: Words that name an article's own heading, if they stand in one.
+HEADING = frozenset({"header", "banner"})
+
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
+#: A comment, a declaration, a tag with its attributes, or text; each ends at the latest with
+#: the page, so no part of it is read twice.
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+))?+)*+)(?:>|(\Z))"
+    r"|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
+    re.S,
+)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
+MARKS = re.compile(r"[.,;:!?…。，、！？；：]")
 SPACE = re.compile(r"\s+")
 
+#: What a named element, and text that stands bare in a container, leave of a path's score.
+NAMED, BARE = 0.002, 0.3
+#: Of the page's usual score: the least of a content path.
+THRESHOLD = 0.02
+#: Part of the content that the article's element holds.
+SHARE = 0.7
+
+
+class Path(NamedTuple):
+    parent: int
+    tag: str
+    #: Elements on it that are named as no article, and whether one is an article or main.
+    named: int
+    article: bool
+
 
 class Block(NamedTuple):
     text: str
-    path: str
-    #: Numbers of the elements around it, from the root down.
-    around: tuple[int, ...]
-    outside: bool
+    path: int
+    element: int
     link_chars: int
-    #: Elements around it that may be outside, from the root down: the number; the share of
-    #: the page's text above which it is inside all the same; whether an article or main
-    #: element lies between it and the block.
-    doubtful: tuple[tuple[int, float, bool], ...]
 
 
-#: Shares of the page's text: of an element that is outside by a whole word of its class or
-#: id, and of one that is outside as a form or by a part of such a word.
-BY_WORD, BY_PART = 0.9, 0.5
+class Page(NamedTuple):
+    """Blocks in order; paths by number, a parent before its children; each element's parent
+    and path, by number as well. Number 0 stands above all."""
 
+    blocks: list[Block]
+    paths: list[Path]
+    parents: list[int]
+    element_paths: list[int]
 
-def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool | float:
-    """Whether an element says by name, class, id or role that it is no article.
 
-    If only its class or id says so, or that it is a form, it is the share of the page's
-    text above which the element holds the article all the same.
-    """
-    if tag in OUTSIDE and tag != "form":
-        return True
-    share = BY_PART if tag == "form" else 0.0
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return share
-    for name, *values in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), next(filter(None, values), "")
-        if name == "role" and value.lower() == "form":
-            share = max(share, BY_PART)
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            for word in value.split():
-                parts = [x.lower() for x in NAME_PARTS.findall(word)]
-                if word.lower() in BOILERPLATE or not in_article and word.lower() in HEADS:
-                    share = BY_WORD
-                elif parts and (parts[0] in BOILERPLATE or parts[-1] in BOILERPLATE or not in_article and parts[0] in ("site", "page", "global") and parts[-1] in HEADS):
-                    share = max(share, BY_PART)
-    return share
-
-
-def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in order, white space inside each turned into one space.
+def _said(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is outside, and whether it is named as no article."""
+    outside, named = tag in OUTSIDE or tag == "header" and not in_article, tag == "form"
+    if not outside and ("=" in attributes or "hidden" in attributes):
+        for name, *values in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), next(filter(None, values), "")
+            if name == "role" and value.lower() == "form":
+                named = True
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return True, False
+            elif name in ("class", "id") and tag in BLOCKS and tag not in ("html", "body", "main", "p"):
+                for word in value.split():
+                    parts = {x.lower() for x in NAME_PARTS.findall(word)}
+                    found = parts & NAMING - (HEADING if in_article else frozenset())
+                    named = named or bool(found) and parts <= NAMING | BESIDE
+    return outside, named
+
+
+def read(html: str) -> Page:
+    """A page's text blocks, white space inside each turned into one space.
 
     Tags that the standard lets authors leave out are implied; unclosed elements end with
-    the element around them; the text of scripts, styles and comments is not read. A
-    header inside an article is its own heading, any other header is outside.
+    the element around them; a tag that never ends takes the rest of the page. The text of
+    scripts, styles and comments is not read, nor that of elements outside. A header inside
+    an article is its own heading, any other is outside. Time and memory grow with the
+    length of the page, whatever is in it.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, bool | float]] = [("", 0, False)]
+    paths, known = [Path(-1, "", 0, False)], {}
+    parents, element_paths = [-1], [0]
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, element, path, outside
+    opened: dict[str, list[int]] = defaultdict(list)  # places of the open elements of each tag
+    scopes = [0]
+    unended: set[str] = set()
     text: list[str] = []
-    inline = link = 0
-    number = 0
+    link = pos = 0
     length = len(html)
 
     def flush() -> None:
         nonlocal link
         if text:
-            found = SPACE.sub(" ", unescape("".join(text))).strip()
+            found = SPACE.sub(" ", "".join(text)).strip()
             if found:
-                doubtful = tuple((n, share, any(x in ("article", "main") for x, _, _ in stack[at:])) for at, (_, n, share) in enumerate(stack) if share and share is not True)
-                out.append(Block(found, "/".join(x for x, _, _ in stack if x in BLOCKS or not x), tuple(n for _, n, _ in stack), any(x is True for _, _, x in stack), link, doubtful))
+                out.append(Block(found, stack[-1][2], stack[-1][1], min(link, len(found))))
             text.clear()
         link = 0
 
     def close(to: int) -> None:
         """Ends the open elements from place ``to`` on, and their block if one is a block."""
-        if any(x in BLOCKS or x in OUTSIDE for x, _, _ in stack[to:]):
+        if any(x in BLOCKS for x, _, _, _ in stack[to:]):
             flush()
-        del stack[to:]
+        while len(stack) > to:
+            opened[stack.pop()[0]].pop()
+        while scopes[-1] >= to:
+            scopes.pop()
+
+    def reachable(tag: str) -> int:
+        """The place of the last open element of that tag if it is in scope, else 0."""
+        at = opened[tag][-1] if opened[tag] else 0
+        return at if at >= scopes[-1] else 0
 
-    pos = 0
     while pos < length:
         m = TOKEN.match(html, pos)
-        if m is None:  # "<" and a name, but no end of the tag
-            text.append(html[pos])
-            pos += 1
-            continue
         pos = m.end()
-        tag = m[2]
+        tag, piece = m[2], m[0]
         if tag is None:
-            piece = m[0]
-            if piece.startswith("<![CDATA["):
+            if piece[0] == "<" and len(piece) > 1:
                 continue
-            if piece[0] != "<" or piece == "<":
-                text.append(piece)
-                if any(x == "a" for x, _, _ in stack):
-                    link += len(piece)
+            if opened["head"] and not piece.isspace():
+                close(opened["head"][0])
+            if not stack[-1][3]:
+                text.append(unescape(piece))
+                link += len(text[-1]) * bool(opened["a"])
             continue
+        if m[4] is not None:
+            break
         tag = tag.lower()
         if m[1]:
             if tag == "br":
                 text.append(" ")
-            elif tag == "p" and not any(x == "p" for x, _, _ in stack):
+            elif tag == "p" and not opened["p"]:
                 flush()
-            else:
-                for at in range(len(stack) - 1, 0, -1):
-                    if stack[at][0] == tag:
-                        close(at)
-                        break
-                    if tag not in BLOCKS and tag not in OUTSIDE and stack[at][0] in SCOPES:
-                        break
+            elif opened[tag]:
+                at = opened[tag][-1] if tag in BLOCKS else reachable(tag)
+                if at:
+                    close(at)
             continue
+        if opened["head"] and tag not in IN_HEAD:
+            close(opened["head"][0])
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, pos)
-            if tag in ("noscript", "template") and end is None:
-                continue
-            pos = end.end() if end else length
-            text.append(" ") if tag == "textarea" else None
+            end = None if tag in unended else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, pos)
+            if end is None:
+                unended.add(tag)
+            if end or tag not in ("noscript", "template"):
+                pos = end.end() if end else length
             continue
         if tag in VOID:
             if tag == "hr":
@@ -180,113 +204,135 @@ def blocks(html: str) -> list[Block]:
             elif tag in ("br", "img"):
                 text.append(" ")
             continue
-        for at in range(len(stack) - 1, 0, -1):
-            open_ = stack[at][0]
-            if tag in CLOSED_BY.get(open_, ()):
-                close(at)
-                break
-            if open_ in SCOPES:
-                break
-        if tag in BLOCKS or tag in OUTSIDE:
+        ended = ENDS.get(tag, ()) + (("p",) if tag in BLOCKS and tag not in IN_PARAGRAPH else ())
+        while ended and (at := max(map(reachable, ended))):
+            close(at)
+        if tag in BLOCKS:
             flush()
         if m[3].endswith("/") and tag in ("svg", "path", "use"):
             continue
-        number += 1
-        in_article = any(x in ("article", "main") for x, _, _ in stack)
-        outside = tag == "header" and not in_article or _boilerplate(tag, m[3], in_article)
-        stack.append((tag, number, outside))
+        _, element, path, outside = stack[-1]
+        if not outside:
+            outside, named = _said(tag, m[3], paths[path].article)
+            if not outside and tag in BLOCKS:
+                above = paths[path]
+                made = Path(path, tag, above.named + named, above.article or tag in ("article", "main"))
+                if made not in known:
+                    known[made] = len(paths)
+                    paths.append(made)
+                path = known[made]
+        parents.append(element)
+        element_paths.append(path)
+        opened[tag].append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
+        stack.append((tag, len(parents) - 1, path, outside))
     flush()
-    return out
+    return Page(out, paths, parents, element_paths)
 
 
-def _smoothed(values: list[float], reach: int = 1) -> list[float]:
-    return [sum(values[max(0, i - reach) : i + reach + 1]) / len(values[max(0, i - reach) : i + reach + 1]) for i in range(len(values))]
+def path_scores(page: Page) -> dict[int, float]:
+    """The fused ratio of each path that has blocks: a geometric mean, so that a text twice as
+    long weighs about twice as much.
+
+    Text and marks a block, both without links, are averaged over the paths next to it (by
+    first appearance) whose last element is below the same path and named alike.
+    """
+    blocks, chars, marks = defaultdict(int), defaultdict(int), defaultdict(int)
+    for b in page.blocks:
+        blocks[b.path] += 1
+        chars[b.path] += len(b.text) - b.link_chars
+        marks[b.path] += len(MARKS.findall(b.text)) if b.link_chars < len(b.text) else 0
+    family = defaultdict(list)
+    for x in blocks:
+        family[page.paths[x].parent, page.paths[x].named].append(x)
+    out = {}
+    for beside in family.values():
+        for k, x in enumerate(beside):
+            near = beside[max(0, k - 1) : k + 2]
+            text = sum(chars[y] / blocks[y] for y in near) / len(near)
+            points = sum(marks[y] / blocks[y] for y in near) / len(near)
+            out[x] = sqrt(text * (1 + points)) * NAMED ** page.paths[x].named * (1 if page.paths[x].tag in TEXTUAL else BARE)
+    return out
 
 
-def path_scores(found: list[Block]) -> dict[str, float]:
-    """The fused ratio of each tag path: text and punctuation a block, without link text."""
-    totals: dict[str, list[float]] = {}
-    for b in found:
-        t = totals.setdefault(b.path, [0.0, 0.0, 0.0])
-        t[0] += 1
-        t[1] += max(0, len(b.text) - b.link_chars)
-        t[2] += len(PUNCTUATION.findall(b.text)) * (b.link_chars < len(b.text))
-    paths = list(totals)
-    by_text = _smoothed([totals[x][1] / totals[x][0] for x in paths])
-    by_marks = _smoothed([totals[x][2] / totals[x][0] for x in paths])
-    return {x: t * (1 + m) for x, t, m in zip(paths, by_text, by_marks)}
+def content(page: Page, scores: dict[int, float]) -> tuple[set[int], float]:
+    """The paths above the threshold, and the page's usual score: the mean that weighs each
+    character by its path's score."""
+    weight = defaultdict(float)
+    for b in page.blocks:
+        weight[b.path] += len(b.text) - b.link_chars
+    total = sum(scores[x] * w for x, w in weight.items())
+    usual = sum(scores[x] ** 2 * w for x, w in weight.items()) / total if total else 0.0
+    return {x for x, s in scores.items() if s >= THRESHOLD * usual and weight[x] > 0} or set(scores), usual
 
 
-def inside(found: list[Block]) -> list[Block]:
-    """The blocks of elements that are not outside.
+def article_element(page: Page, chosen: set[int], scores: dict[int, float], usual: float) -> tuple[int, int]:
+    """The innermost element that holds most of the content, each character weighing its
+    path's score up to the usual one: its number and the last number in it.
 
-    An element that is outside by class, by id or as a form only is inside if it holds most
-    of the text, or if it holds articles and none stands outside of such elements. Those
-    further out are judged first. If nothing is left, all such elements are inside.
+    It is no paragraph or the like, and it reaches as far out as paragraphs in the paths of
+    those in it stand.
     """
-    found = [b for b in found if not b.outside]
-    if not any(b.doubtful for b in found):
-        return found
-    total = sum(len(b.text) for b in found)
-    mass: dict[int, int] = {}
-    share: dict[int, float] = {}
-    above: dict[int, list[int]] = {}
-    holders: set[int] = set()
-    for b in found:
-        for k, (n, least, named) in enumerate(b.doubtful):
-            mass[n] = mass.get(n, 0) + len(b.text)
-            share[n], above[n] = least, [x for x, _, _ in b.doubtful[:k]]
-            if named:
-                holders.add(n)
-    cleared: set[int] = set()
-
-    def kept() -> list[Block]:
-        return [b for b in found if all(n in cleared for n, _, _ in b.doubtful)]
-
-    def has_article() -> bool:
-        return any({"article", "main"} & set(b.path.split("/")) for b in kept())
-
-    for n in sorted(share):  # by the order of start tags
-        if cleared.issuperset(above[n]) and (mass[n] > share[n] * total or n in holders and not has_article()):
-            cleared.add(n)
-    return kept() or found
+    mass, last = [0.0] * len(page.parents), list(range(len(page.parents)))
+    for b in page.blocks:
+        if b.path in chosen:
+            mass[b.element] += (len(b.text) - b.link_chars) * min(1.0, scores[b.path] / usual if usual else 1.0)
+    # Elements are numbered by their start tags, so those in one are a range of numbers.
+    for n in range(len(mass) - 1, 0, -1):
+        mass[page.parents[n]] += mass[n]
+        last[page.parents[n]] = max(last[page.parents[n]], last[n])
+    at = max((n for n in range(len(mass)) if mass[n] >= SHARE * mass[0]), default=0) if mass[0] else 0
+    while at and page.paths[page.element_paths[at]].tag in TEXTUAL:
+        at = page.parents[at]
+    reach: dict[int, tuple[int, int]] = {}
+    for b in page.blocks:
+        if b.path in chosen and page.paths[b.path].tag in TEXTUAL:
+            low, high = reach.get(b.path, (b.element, b.element))
+            reach[b.path] = (min(low, b.element), max(high, b.element))
+    places = sorted((b.element, b.path) for b in page.blocks if b.path in reach)
+    low, high = at, last[at]
+    begin = end = bisect_left(places, (at, -1))
+    while at:
+        while end < len(places) and places[end][0] <= last[at]:
+            low, high = min(low, reach[places[end][1]][0]), max(high, reach[places[end][1]][1])
+            end += 1
+        while begin and places[begin - 1][0] >= at:
+            begin -= 1
+            low, high = min(low, reach[places[begin][1]][0]), max(high, reach[places[begin][1]][1])
+        if at <= low and high <= last[at]:
+            break
+        at = page.parents[at]
+    return at, last[at]
 
 
 def main_text(html: str | None) -> str:
-    """The article of a page: its blocks joined by two line ends; empty if there are none."""
-    inner = inside(blocks(html or ""))
-    if not inner:
+    """The article of a page: its blocks joined by two line ends; empty if there are none.
+
+    If ``article`` or ``main`` elements hold a third of the content, they are the article.
+    In it, blocks of paths below the threshold go if half of them are links, or if they
+    are named as something else more than the article itself is.
+    """
+    page = read(html or "")
+    if not page.blocks:
         return ""
-    scores = path_scores(inner)
-    weight = {x: sum(len(b.text) - b.link_chars for b in inner if b.path == x) for x in scores}
-    total = sum(weight.values())
-    mean = sum(scores[x] * weight[x] for x in scores) / total if total > 0 else 0.0
-    content = {x for x in scores if scores[x] >= 0.1 * mean and weight[x] > 0} or set(scores)
-    # The deepest element that holds almost all of the content, unless the page names one.
-    mass: dict[int, int] = {}
-    for b in inner:
-        if b.path in content:
-            for n in b.around:
-                mass[n] = mass.get(n, 0) + len(b.text)
-    whole = mass[0]
-    named = [b for b in inner if any(x in ("article", "main") for x in b.path.split("/"))]
-    if named and 3 * sum(len(b.text) for b in named if b.path in content) >= whole:
-        inner = named
-    else:
-        root = 0
-        for b in inner:
-            for n in b.around:
-                if mass.get(n, 0) >= 0.9 * whole and n > root:
-                    root = n
-        inner = [b for b in inner if root in b.around and (b.path in content or b.link_chars < 0.5 * len(b.text))]
-    return "\n\n".join(b.text for b in inner)
+    scores = path_scores(page)
+    chosen, usual = content(page, scores)
+    weight = lambda b: (len(b.text) - b.link_chars) * min(1.0, scores[b.path] / usual if usual else 1.0) * (b.path in chosen)
+    inside = [b for b in page.blocks if page.paths[b.path].article]
+    if not inside or 3 * sum(map(weight, inside)) < sum(map(weight, page.blocks)):
+        first, last = article_element(page, chosen, scores, usual)
+        inside = [b for b in page.blocks if first <= b.element <= last]
+    least = min((page.paths[b.path].named for b in inside if b.path in chosen), default=0)
+    kept = [b for b in inside if b.path in chosen or 2 * b.link_chars < len(b.text) and page.paths[b.path].named <= least]
+    return "\n\n".join(b.text for b in kept)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", *keep: str) -> DataFrame:
     """``text`` and ``n_chars`` (code points) of each page's whole html, with kept columns.
 
     Null and empty pages, and pages without an article, have an empty text. A row comes
-    out for each row that goes in; columns not named are not read.
+    out for each row that goes in, equal ones included; columns not named are not read.
     """
     rows = df.select(F.col(id_col), *keep, F.col(html_col).cast("string").alias("html"))
     out = rows.select(id_col, *keep, F.col("html").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
