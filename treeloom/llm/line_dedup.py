@@ -11,9 +11,10 @@ then line number) has a Jaccard similarity of at least ``num / den`` with it.
   upper bounds of the overlap, so no similar pair is missed. The bitmap of a line has a
   bit flipped for each token; bits that differ bound the tokens that do.
 * Semi-joins keep one row for a line's token however many partners it has there, so large
-  groups of near copies never make their pairs: slim rows find the lines that may have a
-  partner, and on which tokens; a second semi-join of those rows alone carries the text,
-  compares words, and ends a line's search at its first match.
+  groups of near copies never make their pairs. Three of them follow each other: slim rows
+  find the lines that may have a partner, and on which tokens; rows of those that also have
+  the whole prefix keep the first token that two lines share, as one meeting is enough; and
+  only those rows carry the text, compare words, and end a line's search at its first match.
 """
 
 from __future__ import annotations
@@ -21,19 +22,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import shuffle_partitions
-
 #: Slots of the rarity table. It has one byte for each slot, at any size of input.
 SLOTS = 1 << 17
 #: Lines of more tokens have bitmaps of 192 bits.
 WIDE = 90
-SPACE = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
-LINE = ["id", "tie", "no"]
+
+
+def _spaced(text: Column, white: str) -> Column:
+    """White space as blanks: a text is split at one character much faster than by a pattern."""
+    for c in white:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACE), "")
+    return F.array_remove(F.split(_spaced(line, "\t\v\f\r"), " "), "")
 
 
 def _slot(hashed: Column) -> Column:
@@ -53,7 +57,7 @@ def rarity(docs: DataFrame) -> Column:
     It is a scalar subquery, so it is computed once and never part of a plan's text. Every
     slot is counted once more than its words, so that none is missing.
     """
-    words = docs.select(F.explode(F.split("text", SPACE)).alias("w")).where("w <> ''").select(_slot(F.xxhash64("w")).alias("slot"))
+    words = docs.select(F.explode(F.split(_spaced(F.col("text"), "\n\t\v\f\r"), " ")).alias("w")).where("w <> ''").select(_slot(F.xxhash64("w")).alias("slot"))
     every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
     counts = words.unionByName(every).groupBy("slot").count()
     level = F.least(F.lit(127), F.floor(3 * F.log2("count"))).cast("tinyint")
@@ -67,99 +71,120 @@ def _key(hashed: Column, levels: Column) -> Column:
     return F.shiftleft(level.cast("long"), 56).bitwiseOR(hashed.bitwiseAND(F.lit((1 << 56) - 1)))
 
 
-def _postings(lines: DataFrame, levels: Column, num: int, den: int) -> DataFrame:
-    """A row for each prefix token of each line: the token, its place, the line's size and
-    bitmap. The prefix of n tokens is as long as lets a similar line avoid the rest."""
+def _postings(lines: DataFrame, place: list[str], levels: Column, num: int, den: int) -> DataFrame:
+    """Lines with what filters need: the prefix of their tokens' keys, in order, their size,
+    and bitmaps. The prefix of n tokens is as long as lets a similar line avoid the rest."""
     # The table's column has a single use in the next projection, into which it is merged;
     # rows never carry it.
-    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
-    keys = F.sort_array(F.array_distinct(F.transform(hashes, lambda h: _key(h, F.col("__levels")))))
-    sized = lines.withColumn("__levels", levels).select(*LINE, keys.alias("keys"))
+    keys = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: _key(F.xxhash64(w), F.col("__levels")))))
+    sized = lines.withColumn("__levels", levels).select(*place, keys.alias("keys"))
     size = F.size("keys")
     needed = F.ceil(size * float(num) / den - 1e-9).cast("int")  # of an equal overlap
     # A token flips one bit of 64, or, as 64 leave too little to tell long lines apart, of
     # 192; the three words of a long line's bitmap together make the one of a short line.
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    part = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1023)) % 3
     none = F.lit(0).cast("long")
-    word = lambda which: F.aggregate("keys", none, lambda acc, k: acc.bitwiseXOR(F.when(part(k) == which, bit(k)).otherwise(none)))
+    word = lambda which: F.aggregate("keys", none, lambda acc, k: F.when(k % 3 == which, acc.bitwiseXOR(bit(k))).otherwise(acc))
     short = F.aggregate("keys", none, lambda acc, k: acc.bitwiseXOR(bit(k)))
     long = size > WIDE
-    made = _computed(sized, n=size, bits=F.when(long, word(0)).otherwise(short), bits2=F.when(long, word(1)), bits3=F.when(long, word(2)), prefix=F.slice("keys", F.lit(1), size - needed + 1))
-    rows = made.select(*LINE, "n", "bits", "bits2", "bits3", F.posexplode("prefix").alias("at", "key"))
-    # Half of a key serves to meet on: tokens that share it by chance are told apart later.
-    return rows.select(*LINE, "n", "bits", "bits2", "bits3", "at", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("token"))
+    return _computed(sized, n=size, bits=F.when(long, word(0)).otherwise(short), bits2=F.when(long, word(1)), bits3=F.when(long, word(2)), prefix=F.slice("keys", F.lit(1), size - needed + 1)).drop("keys")
 
 
 def _may_match(num: int, den: int) -> str:
-    """Of a line x and an earlier line y that share a token: whether they can be similar."""
+    """Of lines x and y that share a token: whether they can be similar."""
     whole = "({0}.bits ^ coalesce({0}.bits2 ^ {0}.bits3, 0))"
     differ = f"""CASE WHEN x.bits2 IS NULL OR y.bits2 IS NULL THEN bit_count({whole.format("x")} ^ {whole.format("y")})
         ELSE bit_count(x.bits ^ y.bits) + bit_count(x.bits2 ^ y.bits2) + bit_count(x.bits3 ^ y.bits3) END"""
-    return f"""x.token = y.token
-        AND (y.id < x.id OR y.id = x.id AND (y.tie < x.tie OR y.tie = x.tie AND y.no < x.no))
-        AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)
-        AND {num + den} * least(x.n - x.at, y.n - y.at) >= {num} * (x.n + y.n)
-        AND {num + den} * (x.n + y.n - {differ}) >= {2 * num} * (x.n + y.n)"""
+    n = "CAST(shiftright({0}.size, 32) AS INT)"
+    after = "(CAST(shiftright({0}.size, 32) AS INT) - CAST({0}.size & 4294967295 AS INT))"  # tokens from this one on
+    x, y = n.format("x"), n.format("y")
+    return f"""{den} * least({x}, {y}) >= {num} * greatest({x}, {y})
+        AND {num + den} * least({after.format("x")}, {after.format("y")}) >= {num} * ({x} + {y})
+        AND {num + den} * ({x} + {y} - {differ}) >= {2 * num} * ({x} + {y})"""
+
+
+def _before(y: str, x: str, place: list[str]) -> str:
+    """Whether the line ``y`` comes before the line ``x``."""
+    return f"struct({', '.join(f'{y}.{c}' for c in place)}) < struct({', '.join(f'{x}.{c}' for c in place)})"
+
+
+def _others(place: list[str]) -> str:
+    return f"NOT ({' AND '.join(f'x.{c} = y.{c}' for c in place)})"
 
 
-def _by_document(lines: DataFrame, name: str, *more: str) -> DataFrame:
-    return lines.groupBy("id", "tie").agg(F.collect_list(F.struct("no", *more)).alias(name))
+def _by_document(lines: DataFrame, key: list[str], name: str, *more: str) -> DataFrame:
+    return lines.groupBy(*key).agg(F.collect_list(F.struct("no", *more)).alias(name))
 
 
-def _picked(docs: DataFrame, lines: DataFrame, *more: str) -> DataFrame:
+def _picked(docs: DataFrame, key: list[str], lines: DataFrame, *more: str) -> DataFrame:
     """The lines of documents that ``lines`` lists as ``nos``: structs that have ``no``."""
-    rows = _computed(docs.join(lines, ["id", "tie"]), lines=F.split("text", "\n")).select("id", "tie", "lines", "nos")
-    picked = rows.select("id", "tie", F.explode(F.transform("nos", lambda x: F.struct(x.alias("x"), F.get(F.col("lines"), x["no"]).alias("line")))).alias("p"))
-    return picked.select("id", "tie", F.col("p.x.no").alias("no"), *(F.col(f"p.x.{k}").alias(k) for k in more), "p.line")
+    rows = _computed(docs.join(lines, key), lines=F.split("text", "\n")).select(*key, "lines", "nos")
+    picked = rows.select(*key, F.explode(F.transform("nos", lambda x: F.struct(x.alias("x"), F.get(F.col("lines"), x["no"]).alias("line")))).alias("p"))
+    return picked.select(*key, F.col("p.x.no").alias("no"), *(F.col(f"p.x.{k}").alias(k) for k in more), "p.line")
 
 
-def removed_lines(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, key: list[str], num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """First occurrences of different lines, by document as ``nos``, and those of them that
-    are similar to an earlier line, as ``id``, ``tie``, ``no``."""
-    lines = docs.select("id", "tie", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(HAS_WORD))
-    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct(*LINE).alias("at"))
-    first = _by_document(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.*"), "nos")
+    are similar to an earlier line, as the document's key and ``no``."""
+    place = [*key, "no"]
+    lines = docs.select(*key, F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(HAS_WORD))
+    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct(*place).alias("at"))
+    first = _by_document(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.*"), key, "nos")
     levels = rarity(docs)
-    slim = _postings(_picked(docs, first), levels, num, den)
-    may = F.expr(_may_match(num, den))
-    later = slim.alias("x").join(slim.alias("y"), may, "left_semi")
-    earlier = slim.alias("y").join(slim.alias("x"), may, "left_semi")
-    rest = ["token", "n", "bits", "bits2", "bits3", "at"]
-    parts = shuffle_partitions(docs.sparkSession)
-    # The lines' text is dealt, which is smaller than their words, and split once there.
-    full = lambda rows: _picked(docs, _by_document(rows, "nos", *rest), *rest).repartition(parts, "token").select(*LINE, *rest, F.array_distinct(_words(F.col("line"))).alias("words"))
-    alike = F.size(F.array_intersect("x.words", "y.words")) * (num + den) >= num * (F.col("x.n") + F.col("y.n"))
-    similar = full(later).alias("x").join(full(earlier).alias("y"), may & alike, "left_semi")
-    return first, similar.select(*LINE).distinct()
+    may, bits = _may_match(num, den), ["bits", "bits2", "bits3"]
+    # The size and the token's place in one number, half of a key to meet on: tokens that
+    # share it by chance are told apart later.
+    size = lambda at: F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(at.cast("long")).alias("size")
+    half = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    rows = _postings(_picked(docs, key, first), place, levels, num, den).select(*place, "n", *bits, F.posexplode("prefix").alias("at", "key"))
+    slim = rows.select(half.alias("token"), *place, size(F.col("at")), *bits)
+    met = slim.alias("x").join(slim.alias("y"), F.expr(f"x.token = y.token AND {_others(place)} AND {may}"), "left_semi").select(*place, "token")
+    # Lines that met, each once, with the tokens at which they did.
+    lists = _by_document(met.groupBy(*place).agg(F.collect_list("token").alias("tokens")), key, "nos", "tokens")
+    picked = _picked(docs, key, lists, "tokens")
+    rows = _postings(picked, [*place, "tokens"], levels, num, den).select("*", F.posexplode("prefix").alias("at", "key")).where(F.array_contains("tokens", half))
+    wide = rows.select("key", *place, size(F.col("at")), *bits, "prefix")
+    rarest = "get(array_intersect(x.prefix, y.prefix), 0) = x.key"
+    meant = wide.alias("x").join(wide.alias("y"), F.expr(f"x.key = y.key AND {_others(place)} AND {may} AND {rarest}"), "left_semi").select(*place, "key")
+    lists = _by_document(meant.groupBy(*place).agg(F.collect_list("key").alias("keys")), key, "nos", "keys")
+    # The lines' text is dealt, which is smaller than their words.
+    words = F.size(F.array_distinct(_words(F.col("line")))).alias("n")
+    texts = _picked(docs, key, lists, "keys").select(*place, "line", words, "keys").select(F.explode("keys").alias("key"), *place, "n", "line")
+    split = "array_remove(split({0}.line, r'[\\x20\\x09-\\x0D]+'), '')"
+    alike = f"{num + den} * size(array_intersect({split.format('x')}, {split.format('y')})) >= {num} * (x.n + y.n)"
+    similar = texts.alias("x").join(texts.alias("y"), F.expr(f"x.key = y.key AND {_before('y', 'x', place)} AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {alike}"), "left_semi")
+    return first, similar.select(*place).distinct()
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str, num: int = 4, den: int = 5) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_removed`` and the ``text`` that is left of each row.
 
     Lines without a word are kept and match nothing. A null text stays null, with 0 lines;
-    an empty one is one line without a word. Null ids come first in the order of documents.
-    Rows of equal id are in order of a hash of their texts, and repeated rows (same id and
-    text) are one document: each of them is left with the same lines. A document may end
-    with an empty text. Columns to keep are returned in a struct ``kept``; others are not
-    read.
+    an empty one is one line without a word. Null ids come first in the order of documents,
+    as the least long does. Rows of equal id are in order of a hash of their texts, and
+    repeated rows (same id and text) are one document: each of them is left with the same
+    lines. A document may end with an empty text. Columns to keep are returned in a struct
+    ``kept``; others are not read.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     # Texts have a part in the order only where ids repeat.
-    repeated = not df.groupBy(key.alias("id")).count().where("count > 1").isEmpty()
-    docs = df.select(key.alias("id"), (F.hash(text_col) if repeated else F.lit(0)).alias("tie"), F.col(text_col).cast("string").alias("text"), *([F.struct(*keep).alias("kept")] if keep and repeated else []))
-    first, similar = removed_lines(docs.select("id", "tie", "text"), num, den)
-    kept = first.join(_by_document(similar, "gone"), ["id", "tie"], "left")
-    kept = kept.select("id", "tie", F.coalesce(F.array_except("nos.no", "gone.no"), "nos.no").alias("nos"))
-    rows = _computed(docs.join(kept, ["id", "tie"], "left"), lines=F.split("text", "\n"))
+    repeated = not df.groupBy(number.alias("id")).count().where("count > 1").isEmpty()
+    key = ["id", "tie"] if repeated else ["id"]
+    tied = {"tie": F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit(""))} if repeated else {}
+    kept_columns = [F.struct(*keep).alias("kept")] if keep else []
+    docs = df.select(number.alias("id"), *(c.alias(k) for k, c in tied.items()), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(kept_columns if repeated else []))
+    first, similar = removed_lines(docs.select(*key, "doc_id", "text"), key, num, den)
+    kept = first.join(_by_document(similar, key, "gone"), key, "left")
+    kept = kept.select(*key, F.coalesce(F.array_except("nos.no", "gone.no"), "nos.no").alias("nos"))
+    rows = _computed(docs.join(kept, key, "left"), lines=F.split("text", "\n"))
     blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~F.get(F.col("lines"), i).rlike(HAS_WORD))
     none = F.array().cast("array<int>")
     if keep and not repeated:
         # Joined by id at the end, they leave the dealt texts the same for all uses.
-        rows = rows.join(df.select(key.alias("id"), F.lit(0).alias("tie"), F.struct(*keep).alias("kept")), ["id", "tie"])
+        rows = rows.join(df.select(number.alias("id"), *kept_columns), "id")
     rows = _computed(rows, order=F.sort_array(F.concat(F.coalesce("nos", none), F.coalesce(blank, none))))
     return rows.select(
-        F.when(F.col("id") != F.lit(-(1 << 63)), F.col("id")).alias("doc_id"),
+        "doc_id",
         F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         (F.greatest(F.size("lines"), F.lit(0)) - F.size("order")).cast("long").alias("n_removed"),
         F.when(F.col("text").isNotNull(), F.array_join(F.transform("order", lambda i: F.get(F.col("lines"), i)), "\n")).alias("text"),
