@@ -68,4 +68,6 @@ def test_edges(spark):
         [(1, 3, 1, "a b c d e\n"), (2, 0, 0, None), (3, 1, 0, ""), (4, 1, 1, ""), (5, 2, 1, "y"), (5, 2, 1, "y"), (None, 1, 0, "x"), (6, 2, 1, "long " * 30_000), (7, 5000, 0, rows[8][1])], key=str
     )
     assert op3(df.where("false")).collect() == []
+    least = spark.createDataFrame([(-(1 << 63), "a b"), (None, "a b"), (3, "a b")], "doc_id long, text string")
+    assert sorted(map(tuple, op3(least).collect()), key=str) == sorted([(None, 1, 0, "a b"), (-(1 << 63), 1, 1, ""), (3, 1, 1, "")], key=str)
     assert op3(df.where("text IS NULL")).count() == 1

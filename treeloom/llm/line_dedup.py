@@ -24,20 +24,16 @@ from pyspark.sql import functions as F
 
 #: Slots of the rarity table. It has one byte for each slot, at any size of input.
 SLOTS = 1 << 17
+#: The greatest size that has room in a posting; it stands for all greater ones as well.
+MOST = (1 << 16) - 1
 #: Lines of more tokens have bitmaps of 192 bits.
 WIDE = 90
+SPACE = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def _spaced(text: Column, white: str) -> Column:
-    """White space as blanks: a text is split at one character much faster than by a pattern."""
-    for c in white:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
-
-
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(_spaced(line, "\t\v\f\r"), " "), "")
+    return F.array_remove(F.split(line, SPACE), "")
 
 
 def _slot(hashed: Column) -> Column:
@@ -57,7 +53,7 @@ def rarity(docs: DataFrame) -> Column:
     It is a scalar subquery, so it is computed once and never part of a plan's text. Every
     slot is counted once more than its words, so that none is missing.
     """
-    words = docs.select(F.explode(F.split(_spaced(F.col("text"), "\n\t\v\f\r"), " ")).alias("w")).where("w <> ''").select(_slot(F.xxhash64("w")).alias("slot"))
+    words = docs.select(F.explode(F.split("text", SPACE)).alias("w")).where("w <> ''").select(_slot(F.xxhash64("w")).alias("slot"))
     every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
     counts = words.unionByName(every).groupBy("slot").count()
     level = F.least(F.lit(127), F.floor(3 * F.log2("count"))).cast("tinyint")
@@ -90,17 +86,25 @@ def _postings(lines: DataFrame, place: list[str], levels: Column, num: int, den:
     return _computed(sized, n=size, bits=F.when(long, word(0)).otherwise(short), bits2=F.when(long, word(1)), bits3=F.when(long, word(2)), prefix=F.slice("keys", F.lit(1), size - needed + 1)).drop("keys")
 
 
+def _spot(token: Column, n: Column, at: Column) -> Column:
+    """A token's half key, the line's size and the token's place in one number, as such rows
+    are many: 32, 16 and 16 bits. A size too great for that makes filters let the row pass."""
+    most = F.lit(MOST)
+    sizes = F.shiftleft(F.least(n, most), 16).bitwiseOR(F.least(at, most)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(token, 32).bitwiseOR(sizes)
+
+
 def _may_match(num: int, den: int) -> str:
     """Of lines x and y that share a token: whether they can be similar."""
     whole = "({0}.bits ^ coalesce({0}.bits2 ^ {0}.bits3, 0))"
     differ = f"""CASE WHEN x.bits2 IS NULL OR y.bits2 IS NULL THEN bit_count({whole.format("x")} ^ {whole.format("y")})
         ELSE bit_count(x.bits ^ y.bits) + bit_count(x.bits2 ^ y.bits2) + bit_count(x.bits3 ^ y.bits3) END"""
-    n = "CAST(shiftright({0}.size, 32) AS INT)"
-    after = "(CAST(shiftright({0}.size, 32) AS INT) - CAST({0}.size & 4294967295 AS INT))"  # tokens from this one on
+    n, at = "((shiftright({0}.spot, 16)) & 65535)", "({0}.spot & 65535)"
     x, y = n.format("x"), n.format("y")
-    return f"""{den} * least({x}, {y}) >= {num} * greatest({x}, {y})
-        AND {num + den} * least({after.format("x")}, {after.format("y")}) >= {num} * ({x} + {y})
-        AND {num + den} * ({x} + {y} - {differ}) >= {2 * num} * ({x} + {y})"""
+    rest = f"least({x} - {at.format('x')}, {y} - {at.format('y')})"  # tokens from this one on
+    return f"""({x} = {MOST} OR {y} = {MOST} OR {den} * least({x}, {y}) >= {num} * greatest({x}, {y})
+        AND {num + den} * {rest} >= {num} * ({x} + {y})
+        AND {num + den} * ({x} + {y} - {differ}) >= {2 * num} * ({x} + {y}))"""
 
 
 def _before(y: str, x: str, place: list[str]) -> str:
@@ -132,25 +136,24 @@ def removed_lines(docs: DataFrame, key: list[str], num: int, den: int) -> tuple[
     first = _by_document(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.*"), key, "nos")
     levels = rarity(docs)
     may, bits = _may_match(num, den), ["bits", "bits2", "bits3"]
-    # The size and the token's place in one number, half of a key to meet on: tokens that
-    # share it by chance are told apart later.
-    size = lambda at: F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(at.cast("long")).alias("size")
-    half = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    half = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))  # tokens that share it by chance are told apart later
     rows = _postings(_picked(docs, key, first), place, levels, num, den).select(*place, "n", *bits, F.posexplode("prefix").alias("at", "key"))
-    slim = rows.select(half.alias("token"), *place, size(F.col("at")), *bits)
-    met = slim.alias("x").join(slim.alias("y"), F.expr(f"x.token = y.token AND {_others(place)} AND {may}"), "left_semi").select(*place, "token")
-    # Lines that met, each once, with the tokens at which they did.
+    slim = rows.select(_spot(half, F.col("n"), F.col("at")).alias("spot"), "bits", *place, "bits2", "bits3")
+    met = slim.alias("x").join(slim.alias("y"), F.expr(f"shiftrightunsigned(x.spot, 32) = shiftrightunsigned(y.spot, 32) AND {_others(place)} AND {may}"), "left_semi")
+    met = met.select(*place, F.shiftrightunsigned("spot", 32).alias("token"))
+    # Lines that met, each once, with the tokens at which they did. Similar lines met at the
+    # first token that they share, so one looks for an earlier one among those alone.
     lists = _by_document(met.groupBy(*place).agg(F.collect_list("token").alias("tokens")), key, "nos", "tokens")
-    picked = _picked(docs, key, lists, "tokens")
-    rows = _postings(picked, [*place, "tokens"], levels, num, den).select("*", F.posexplode("prefix").alias("at", "key")).where(F.array_contains("tokens", half))
-    wide = rows.select("key", *place, size(F.col("at")), *bits, "prefix")
-    rarest = "get(array_intersect(x.prefix, y.prefix), 0) = x.key"
-    meant = wide.alias("x").join(wide.alias("y"), F.expr(f"x.key = y.key AND {_others(place)} AND {may} AND {rarest}"), "left_semi").select(*place, "key")
+    rows = _postings(_picked(docs, key, lists, "tokens"), [*place, "tokens"], levels, num, den)
+    rows = rows.withColumn("shared", F.filter("prefix", lambda k: F.array_contains("tokens", k.bitwiseAND(F.lit(0xFFFFFFFF)))))
+    rows = rows.select(*place, "n", *bits, "prefix", "shared", F.posexplode("shared").alias("k", "key"))
+    wide = rows.select("key", _spot(half, F.col("n"), (F.array_position("prefix", F.col("key")) - 1).cast("int")).alias("spot"), *place, *bits, F.slice("shared", F.lit(1), F.col("k")).alias("earlier"))
+    meant = wide.alias("x").join(wide.alias("y"), F.expr(f"x.key = y.key AND {_others(place)} AND {may} AND NOT arrays_overlap(x.earlier, y.earlier)"), "left_semi").select(*place, "key")
     lists = _by_document(meant.groupBy(*place).agg(F.collect_list("key").alias("keys")), key, "nos", "keys")
     # The lines' text is dealt, which is smaller than their words.
     words = F.size(F.array_distinct(_words(F.col("line")))).alias("n")
     texts = _picked(docs, key, lists, "keys").select(*place, "line", words, "keys").select(F.explode("keys").alias("key"), *place, "n", "line")
-    split = "array_remove(split({0}.line, r'[\\x20\\x09-\\x0D]+'), '')"
+    split = "array_remove(split({0}.line, r'" + SPACE + "'), '')"
     alike = f"{num + den} * size(array_intersect({split.format('x')}, {split.format('y')})) >= {num} * (x.n + y.n)"
     similar = texts.alias("x").join(texts.alias("y"), F.expr(f"x.key = y.key AND {_before('y', 'x', place)} AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {alike}"), "left_semi")
     return first, similar.select(*place).distinct()
@@ -166,14 +169,17 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     lines. A document may end with an empty text. Columns to keep are returned in a struct
     ``kept``; others are not read.
     """
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    # Texts have a part in the order only where ids repeat.
-    repeated = not df.groupBy(number.alias("id")).count().where("count > 1").isEmpty()
+    least = -(1 << 63)
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(least))
+    # Texts have a part in the order only where ids repeat, or the least long is one.
+    counts = df.groupBy(number.alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count(F.col(id_col)).alias("own"))
+    repeated = not counts.where((F.col("n") > 1) | (F.col("id") == least) & (F.col("own") > 0)).isEmpty()
     key = ["id", "tie"] if repeated else ["id"]
-    tied = {"tie": F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit(""))} if repeated else {}
+    tie = F.concat(F.when(F.col(id_col).isNull(), "0").otherwise("1"), F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit("")))
     kept_columns = [F.struct(*keep).alias("kept")] if keep else []
-    docs = df.select(number.alias("id"), *(c.alias(k) for k, c in tied.items()), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(kept_columns if repeated else []))
-    first, similar = removed_lines(docs.select(*key, "doc_id", "text"), key, num, den)
+    docs = df.select(number.alias("id"), *([tie.alias("tie")] if repeated else []), F.col(text_col).cast("string").alias("text"), *(kept_columns if repeated else []))
+    # All that deals texts takes the same columns, so that they are dealt once.
+    first, similar = removed_lines(docs.select(*key, "text"), key, num, den)
     kept = first.join(_by_document(similar, key, "gone"), key, "left")
     kept = kept.select(*key, F.coalesce(F.array_except("nos.no", "gone.no"), "nos.no").alias("nos"))
     rows = _computed(docs.join(kept, key, "left"), lines=F.split("text", "\n"))
@@ -184,7 +190,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         rows = rows.join(df.select(number.alias("id"), *kept_columns), "id")
     rows = _computed(rows, order=F.sort_array(F.concat(F.coalesce("nos", none), F.coalesce(blank, none))))
     return rows.select(
-        "doc_id",
+        F.when(~F.col("tie").startswith("0") if repeated else F.col("id") != least, F.col("id")).alias("doc_id"),
         F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         (F.greatest(F.size("lines"), F.lit(0)) - F.size("order")).cast("long").alias("n_removed"),
         F.when(F.col("text").isNotNull(), F.array_join(F.transform("order", lambda i: F.get(F.col("lines"), i)), "\n")).alias("text"),
