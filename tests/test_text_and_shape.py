@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,6 +38,8 @@ def test_clean_values(spark):
     df = spark.createDataFrame([(k,) for k in VALUES] + [(None,)], "raw string")
     got = {r["raw"]: r["c"] for r in df.select("raw", clean_value("raw").alias("c")).collect()}
     assert got == VALUES | {None: None}
+    many = "".join(f"a{k}{{{{efn|x}}}}{{{{small|y}}}}" for k in range(60))
+    assert clean(many) == "".join(f"a{k}" for k in range(60))
     assert list_items("{{ubl|a|b}} trailing") == ["a", "b"] and list_items(" plain [[x|y]] ") == ["plain y"] and list_items("<!-- -->") == []
     assert [r["i"] for r in df.where("raw LIKE '{{unb%'").select(extract_list_items("raw").alias("i")).collect()] == [["one", "two", "three"]]
 
@@ -48,6 +51,14 @@ def test_clean_never_fails(raw):
     list_items(raw)
 
 
+def test_native_stages_give_the_same(spark):
+    rng = random.Random(1)
+    parts = ["{", "}", "[[", "]]", "|", "<!--", "-->", "<ref x>", "</ref>", "<b>", "/>", "*", " ", "\n", "a", "\x1d", "\u00a0", "|efn|", "{{efn|", "}}"]
+    values = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in values], "raw string").select("raw", clean_value("raw").alias("c"), extract_list_items("raw").alias("i")).collect()
+    assert [(r["raw"], r["c"], r["i"]) for r in rows] == [(r["raw"], clean(r["raw"]), list_items(r["raw"])) for r in rows] and len(rows) == 3000
+
+
 def one(spark, column, value, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(column.alias("y")).first()["y"]
 
@@ -89,6 +100,10 @@ def test_build_xml(spark):
         "<established><event><label>Start</label><date></date></event><event><date>1900</date></event></established><leaders><leader><title>King</title></leader></leaders></country>"
     )
     assert out["E"] == '<country name="E"></country>'
+    plan = build_xml(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    odd = spark.createDataFrame([(None, "m", [("a", "1")]), ("R", "r1", [("a", "2"), ("leader_title30", "t")]), ("R", "r2", [("a", "3"), (None, "x")]), ("N", None, None)], df.schema)
+    assert sorted(r["xml"] for r in build_xml(odd).collect()) == sorted(['<country name="m"><a>1</a></country>', '<country name="r1"><a>2</a><leaders><leader><title>t</title></leader></leaders></country>', '<country name="r2"><a>3</a></country>', '<country name=""></country>'])
     items = {r["doc_id"]: r["xml"] for r in build_xml(df, strategy="token_nodes").collect()}
     assert "<languages><item>A</item><item>B &amp; C</item></languages>" in items["T"]
 

@@ -1,4 +1,5 @@
-"""Column functions over text. Patterns follow Unicode, so ``(?U)`` is set throughout."""
+"""Column functions over text. Patterns follow Unicode, so ``(?U)`` is set throughout; the
+four separators U+001C to U+001F count as white space as well."""
 
 from __future__ import annotations
 
@@ -12,12 +13,12 @@ def _col(x: str | Column) -> Column:
 
 def strip(x: str | Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_col(x), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def normalise_whitespace(x: str | Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(_col(x), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(_col(x), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def strip_comments(x: str | Column) -> Column:

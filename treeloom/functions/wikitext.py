@@ -1,20 +1,26 @@
 """Cleaning of wikitext values.
 
-Balanced braces are not regular, so this part runs in Python, in Arrow batches. All of it
-rests on one scan: the places of double braces, and where the pair opened at a place
-closes. The stages that are regular also exist as column functions in
-:mod:`treeloom.functions.text`.
+Balanced braces are not regular, so values that have some are cleaned in Python, in Arrow
+batches. All of it rests on one scan: the places of double braces, and where the pair
+opened at a place closes. Other values only need the regular stages, which are column
+functions of :mod:`treeloom.functions.text`, and never leave the JVM.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeloom.functions import text as X
+
+# The marks, templates and tags that values are cleaned of.
+
 BRACES = re.compile(r"\{\{|\}\}")
 MARKS = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
 COMMENT = re.compile(r"<!--.*?-->", re.S)
@@ -33,8 +39,6 @@ SPACE = re.compile(r"\s+")
 #: List items that are noise, whole or by how they begin.
 JUNK = frozenset({"", "efn", "ref", "tree list", "tree list/end", "/ref"})
 JUNK_START = re.compile(r"</?\s*ref\b|name\s*=|group\s*=|url|doi\s*=|jstor\s*=", re.I)
-#: Named templates removed from one value at most.
-MOST_TEMPLATES = 20
 
 
 def closing(text: str, start: int) -> int:
@@ -48,28 +52,34 @@ def closing(text: str, start: int) -> int:
 
 
 def without_named(text: str, name: re.Pattern) -> str:
-    """Without the templates whose start fits ``name``; an unbalanced one ends the search."""
-    for _ in range(MOST_TEMPLATES):
-        m = name.search(text)
-        end = closing(text, m.start()) if m else -1
-        if end < 0:
-            break
-        text = text[: m.start()] + text[end:]
-    return text
+    """Without the templates whose start fits ``name``; an unbalanced one ends the search.
+
+    Of templates inside each other the outer goes; what then meets may be one again.
+    """
+    while True:
+        kept, at = [], 0
+        for m in name.finditer(text):
+            if m.start() >= at:
+                end = closing(text, m.start())
+                if end < 0:
+                    break
+                kept.append(text[at : m.start()])
+                at = end
+        if not kept:
+            return text
+        text = "".join([*kept, text[at:]])
 
 
 def without_templates(text: str) -> str:
     """What stands outside all templates. A stray end hides what follows, up to a start."""
-    for _ in range(MOST_TEMPLATES):
-        if "{{" not in text:
-            break
+    while "{{" in text:
         depth, at, kept = 0, 0, []
         for m in BRACES.finditer(text):
-            kept.append(text[at : m.start()] if depth == 0 else "")
+            if depth == 0:
+                kept.append(text[at : m.start()])
             depth += 1 if m[0] == "{{" else -1
             at = m.end()
-        kept.append(text[at:] if depth == 0 else "")
-        text = "".join(kept)
+        text = "".join(kept) + (text[at:] if depth == 0 else "")
     return text
 
 
@@ -158,14 +168,47 @@ def list_items(raw: str | None) -> list[str] | None:
     return [x for x in (clean_item(text),) if x]
 
 
-def _mapped(f, kind: T.DataType, x: str | Column) -> Column:
-    udf = F.pandas_udf(lambda values: values.map(f, na_action="ignore"), kind, F.PandasUDFType.SCALAR)
-    return udf(F.col(x) if isinstance(x, str) else x)
+def _mapped(f: Callable, kind: T.DataType, values: Column) -> Column:
+    """``f`` of each string of an array of strings, null where it is null."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).astype(np.int32)
+        made = pa.array([None if x is None else f(x) for x in lists.flatten().to_pylist()], pa.string() if kind == T.StringType() else pa.list_(pa.string()))
+        return pa.ListArray.from_arrays(pa.array(ends), made)
+
+    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.ArrayType(kind))(values)
+
+
+def _regular(raw: Column) -> tuple[Column, Column]:
+    """A value without braces as plain text, and whether it has braces after all: as it is,
+    or where something between them goes."""
+    without_refs = X.strip_refs(X.strip_comments(raw))
+    plain = X.strip_tags(X.unwrap_links(X.strip_inline_notes(without_refs)))
+    return plain, raw.contains("{{") | without_refs.contains("{{") | plain.contains("{{")
+
+
+def _routed(values: Column, f: Callable, kind: T.DataType, plain: Callable[[Column], Column]) -> Column:
+    """Values with braces by ``f`` in Python, others by ``plain``; null stays null."""
+    hard = F.transform(values, lambda v: F.when(_regular(v)[1], v))
+    return F.zip_with(_mapped(f, kind, hard), values, lambda made, v: F.coalesce(made, plain(_regular(v)[0])))
+
+
+def clean_values(values: str | Column) -> Column:
+    """Each value of an array as plain text."""
+    return _routed(F.col(values) if isinstance(values, str) else values, clean, T.StringType(), X.normalise_whitespace)
+
+
+def items_of_values(values: str | Column) -> Column:
+    """Each value of an array as its items."""
+    item = lambda plain: X.normalise_whitespace(F.regexp_replace(plain, r"(?U)^[\s\x1c-\x1f]*\*+[\s\x1c-\x1f]*", ""))
+    plain = lambda v: F.when(v.isNotNull(), F.filter(F.array(item(v)), lambda x: x != ""))
+    return _routed(F.col(values) if isinstance(values, str) else values, list_items, T.ArrayType(T.StringType()), plain)
 
 
 def clean_value(x: str | Column) -> Column:
-    return _mapped(clean, T.StringType(), x)
+    return F.get(clean_values(F.array(x)), 0)
 
 
 def extract_list_items(x: str | Column) -> Column:
-    return _mapped(list_items, T.ArrayType(T.StringType()), x)
+    return F.get(items_of_values(F.array(x)), 0)

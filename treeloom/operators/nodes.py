@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.model import ELEMENT, LEAF, NODE_FIELDS
@@ -68,28 +68,33 @@ def normalise(trees: DataFrame, aliases: dict[str, str]) -> DataFrame:
     return trees.withColumn("nodes", F.when(touched, rebuilt).otherwise(F.col("nodes")))
 
 
-def node_texts(nodes: DataFrame) -> DataFrame:
-    """``doc_id``, ``node_id`` and the text of each node below the root.
+def _text(x: Column) -> Column:
+    """A node's text, from the array that it is in.
 
     A leaf is its label. Else children join by ``; ``: a leaf as its label, an element with
     leaves as ``label: a, b``, any other as ``[label]``; without children the element says
-    so itself.
+    so itself. A node's descendants stand before it in the array, siblings in order.
     """
-    below = leaves(nodes).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("child_pos", "label"))), lambda x: x["label"]), ", ").alias("items"))
-    child = nodes.join(below, ["doc_id", "node_id"], "left")
-    shown = F.when(F.col("node_type") == LEAF, F.col("label")).when(F.col("items").isNotNull(), F.concat_ws(": ", "label", "items")).otherwise(F.concat(F.lit("["), "label", F.lit("]")))
-    joined = child.where("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("child_pos", shown.alias("s")))), lambda x: x["s"]), "; ").alias("joined"))
-    alone = F.concat(F.lit("["), "label", F.lit(" element with 0 children]"))
-    return nodes.join(joined, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.when(F.col("node_type") == LEAF, F.col("label")).otherwise(F.coalesce("joined", alone)).alias("text"))
+    children = lambda y: F.filter(F.slice(F.col("nodes"), y["lml"], y["subtree_size"]), lambda z: z["parent_id"] == y["node_id"])
+    items = lambda y: F.transform(F.filter(children(y), lambda z: z["node_type"] == LEAF), lambda z: z["label"])
+    element = lambda y: F.when(F.size(items(y)) > 0, F.concat(y["label"], F.lit(": "), F.array_join(items(y), ", "))).otherwise(F.concat(F.lit("["), y["label"], F.lit("]")))
+    shown = F.transform(children(x), lambda y: F.when(y["node_type"] == LEAF, y["label"]).otherwise(element(y)))
+    alone = F.concat(F.lit("["), x["label"], F.lit(" element with 0 children]"))
+    return F.when(x["node_type"] == LEAF, x["label"]).when(x["subtree_size"] > 1, F.array_join(shown, "; ")).otherwise(alone)
+
+
+def node_texts(trees: DataFrame) -> DataFrame:
+    """``doc_id``, ``node_id`` and the text of each node, each tree in its own row."""
+    made = F.transform("nodes", lambda x: F.struct(x["node_id"].alias("node_id"), _text(x).alias("text")))
+    return trees.select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.*")
 
 
 def fields(trees: DataFrame) -> DataFrame:
     """The children of the roots: ``doc_id``, ``child_pos``, ``label``, ``node_type``,
-    ``child_count`` and ``text``."""
-    nodes = to_nodes(trees)
-    counts = nodes.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("child_count"))
-    top = nodes.where("depth = 1").join(node_texts(nodes), ["doc_id", "node_id"]).join(counts, ["doc_id", "node_id"], "left")
-    return top.select("doc_id", "child_pos", "label", "node_type", F.coalesce("child_count", F.lit(0)).alias("child_count"), "text")
+    ``child_count`` and ``text``, each tree in its own row."""
+    count = lambda x: F.size(F.filter("nodes", lambda y: y["parent_id"] == x["node_id"])).cast("long")
+    made = F.transform(F.filter("nodes", lambda x: x["depth"] == 1), lambda x: F.struct(x["child_pos"].alias("child_pos"), x["label"].alias("label"), x["node_type"].alias("node_type"), count(x).alias("child_count"), _text(x).alias("text")))
+    return trees.select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.*")
 
 
 def leaf_texts(trees: DataFrame) -> DataFrame:
