@@ -10,8 +10,9 @@ from treeloom.operators.patch import apply
 from treeloom.operators.script import with_ops
 from treeloom.operators.semantic import categorised, category, change_summary
 from treeloom.plans import render
-from treeloom.plans.query_api import Library, dispatch
-from treeloom.plans.run import run
+from treeloom.plans.query_api import Library, dispatch, schemas
+from treeloom.plans.run import main, run
+from treeloom.sources.catalog import collected
 from treeloom.sources.xml import parse_trees
 
 DOCS = [
@@ -49,7 +50,7 @@ def test_library(trees):
     fields = {r["field"]: (r["value1"], r["value2"], r["same"]) for r in library.compare_fields("Old Land", "New Land", ["Capital", "HDI", "none"]).collect()}
     assert fields == {"Capital": ("X", "Y=z", False), "HDI": ("0.5", "(not present)", None), "none": ("(not present)", "(not present)", None)}
     assert sum(r["count"] for r in library.semantic_similarity("Old Land", "New Land").collect()) == row["total_ops"]
-    assert "## Changes by category" in library.report("Old Land", "New Land").first()["report"]
+    assert "## Changes by Category" in library.report("Old Land", "New Land").first()["report"]
     answer = json.loads(dispatch(library, "compare_countries", {"country1": "Old Land", "country2": "New Land"}))
     assert answer["rows"][0]["ted"] == row["ted"]
     assert "error" in json.loads(dispatch(library, "no_tool", {})) and "error" in json.loads(dispatch(library, "get_field_value", {"bad": 1}))
@@ -97,4 +98,38 @@ def test_run(spark, trees, tmp_path):
     assert spark.read.csv(str(tmp_path / "out" / "summary"), header=True).count() == 1
     xml = spark.read.parquet(str(tmp_path / "out" / "patched_xml")).where("doc_id = 'Old_Land->New_Land'").first()["xml"]
     assert "Y=z" in xml and "population_estimate" in xml
-    assert apply(spark.createDataFrame([], "src string, dst string, src_nodes array<struct<node_id:int>>, ops array<struct<op_type:string>>")).count() == 0
+    assert [p.name for p in (tmp_path / "out" / "idf_files").glob("doc_id=*")] and "{{Infobox" in spark.read.text(str(tmp_path / "out" / "patched_wikitext_files"), wholetext=True).first()["value"]
+    assert apply(with_ops(distances(with_trees(pairs.where("false"), trees)))).count() == 0
+    library = Library(trees, output=str(tmp_path / "again"))
+    answer = json.loads(dispatch(library, "run_full_pipeline", {"country1": "Old Land", "country2": "New Land"}))
+    assert answer["rows"][0]["fwd_perfect"] and answer["rows"][0]["source"] == "Old_Land"
+
+
+def test_command_line(spark, tmp_path):
+    for name, xml in DOCS:
+        (tmp_path / "docs").mkdir(exist_ok=True)
+        (tmp_path / "docs" / f"{name}.xml").write_text(xml)
+    docs, out = str(tmp_path / "docs"), lambda x: str(tmp_path / x)
+    read = lambda x: spark.read.text(out(x), wholetext=True).first()["value"]
+    main(["diff", docs, "Old Land", "New Land", out("diff")])
+    assert ET.fromstring(read("diff")).get("target") == "New_Land"
+    main(["patch", docs, "Old Land", "New Land", out("patched"), "--direction", "reverse"])
+    assert ET.canonicalize(read("patched"), strip_text=True) == ET.canonicalize(dict(DOCS)["Old_Land"], strip_text=True)
+    main(["postprocess", docs, "Old Land", out("page")])
+    assert "<th>Area (km²)</th>" in read("page")
+    main(["run", docs, "Old Land", "New Land", out("run")])
+    assert spark.read.parquet(out("run/summary_rows")).first()["rv_perfect"]
+    with pytest.raises(SystemExit):
+        main(["diff", docs, "Old Land", "No Land", out("none")])
+
+
+def test_collecting(spark, trees):
+    kind = "name string, templates array<struct<template:string,fields:array<struct<key:string,value:string>>>>"
+    fetched = spark.createDataFrame([("Third Land", [("Infobox country", [("capital", "[[C]]"), ("template", "x")])]), ("Old Land", [("Infobox country", [])]), ("Bare", [("Other", [])])], kind)
+    names = spark.createDataFrame([("Third Land",), ("Old Land",), ("Bare",), ("Nowhere",), ("Bare",)], "name string")
+    made = {r["name"]: (r["doc_id"], r["xml"], r["error"]) for r in collected(names, fetched, trees).collect()}
+    assert made == {"Third Land": ("Third_Land", '<country name="Third Land"><capital>C</capital></country>', None), "Bare": ("Bare", None, "no infobox for Bare"), "Nowhere": ("Nowhere", None, "no infobox for Nowhere")}
+    answer = json.loads(dispatch(Library(trees, fetched=fetched), "collect_country", {"country": "Third Land"}))
+    assert answer["rows"][0]["success"] and "error" in json.loads(dispatch(Library(trees), "collect_country", {"country": "x"}))
+    shown = {x["function"]["name"]: x["function"]["parameters"] for x in schemas()}
+    assert len(shown) == 10 and shown["compare_countries"]["properties"]["algorithm"]["enum"] == ["chawathe", "nierman_jagadish"] and shown["compare_specific_fields"]["required"] == ["country1", "country2", "fields"]

@@ -1,20 +1,23 @@
 """Distances, mappings, scripts and patches against brute force and stated expectations."""
 
 import functools
+import os
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from treeloom.model import LEAF
 from treeloom.operators import nodes as N
 from treeloom.operators.distance import Distance, both_ways, distances, shape, similarity, with_trees
-from treeloom.operators.patch import apply, residual
+from treeloom.operators.patch import apply, refined, residual
 from treeloom.operators.script import counted, edit_ops, inverted, preview, script_text, with_ops
 from treeloom.operators.similarity_join import within
+from treeloom.plans.run import summary_rows
 from treeloom.sources.config import CostModel
-from treeloom.sources.xml import numbered, parse, parse_trees
+from treeloom.sources.xml import numbered, parse, parse_trees, read_trees
 
 FIELDS = ["node_id", "pre", "parent_id", "child_pos", "depth", "label", "node_type", "subtree_size", "lml", "path", "field", "attribute"]
 
@@ -151,6 +154,9 @@ def test_scripts_and_patches(spark, table):
     target = {d: [(x["label"], x["node_type"], x["pre"], x["parent_id"]) for x in r["nodes"]] for d, r in ((r["doc_id"], r) for r in table.collect()) if r["nodes"]}
     for r in apply(whole).collect():
         assert [(x["label"], x["node_type"], x["pre"], x["parent_id"]) for x in r["nodes"]] == target[r["dst"]]
+    again = refined(whole.withColumn("ops", F.slice("ops", 2, 100))).collect()
+    assert {(r["src"], r["dst"]): (r["residual"], r["rounds"]) for r in again} == {("A", "B"): (0, 2), ("C", "D"): (0, 2), ("A", "A"): (0, 1), ("B", "C"): (0, 2)}
+    assert {r["rounds"] for r in refined(whole, max_rounds=1).collect()} == {1}
     for r in apply(inverted(whole)).collect():
         assert [(x["label"], x["node_type"], x["pre"], x["parent_id"]) for x in r["nodes"]] == target[r["dst"]]
     kinds = [(r["op_type"], r["label"]) for r in edit_ops(scripts).where("src = 'C' AND dst = 'D'").orderBy("op_seq").collect()]
@@ -171,6 +177,32 @@ def test_metrics_and_directions(spark, table):
     assert len(ways) == 2 and all(r["asymmetric"] == (r["ted_fwd"] != r["ted_rv"]) for r in ways)
     with pytest.raises(ValueError):
         distances(pairs(spark, table, ("A", "B")), algorithm="unknown")
+    with pytest.raises(ValueError):
+        distances(pairs(spark, table, ("A", "B")).withColumn("Ted", F.lit(1)))
+
+
+def test_repeated_and_null_pairs(spark, table):
+    asked = pairs(spark, table, ("A", "B"), ("A", "B"), (None, "B"), ("A", None), (None, None)).withColumn("own", F.lit("x"))
+    scripts = with_ops(distances(asked))
+    assert scripts.count() == 5 and scripts.columns[:5] == asked.columns
+    assert both_ways(asked).count() == 10 and residual(scripts).count() == 5 and summary_rows(asked).count() == 5
+    assert sorted(r["ted"] for r in scripts.collect())[0] == 0 and sorted(r["total_ops"] for r in counted(scripts).where("src IS NULL").collect()) == [0, 12]
+
+
+def test_plans(spark, table):
+    """Trees are not broadcast, and a pair's row is shuffled for its trees alone."""
+    plan = with_ops(distances(pairs(spark, table, ("A", "B"))))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2 and plan.count("ArrowEvalPython") == 1
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
+@pytest.mark.skipif("RECORDS_DIR" not in os.environ, reason="RECORDS_DIR names a folder of XML records")
+def test_stated_figures_of_two_records(spark):
+    docs = read_trees(spark, os.environ["RECORDS_DIR"]).where("doc_id IN ('Lebanon', 'Switzerland')")
+    scripts = with_ops(distances(with_trees(spark.createDataFrame([("Lebanon", "Switzerland")], "src string, dst string"), docs)))
+    r = counted(scripts).first()
+    assert {x["doc_id"]: x["n"] for x in docs.collect()} == {"Lebanon": 173, "Switzerland": 145}
+    assert (r["ted"], r["inserts"], r["deletes"], r["relabels"]) == (121, 12, 40, 69)
 
 
 def test_similarity_join(spark):

@@ -8,21 +8,23 @@ then only taken where it is strictly best, which keeps the mapping one to one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.model import LEAF, checked_algorithm
+from treeloom.model import ALGORITHMS, LEAF, checked_algorithm
 from treeloom.sources.config import UNIT, CostModel
 
 EPS = 1e-9
-#: Rows of an Arrow batch weigh by the trees in them, and time by their product; so few
-#: pairs a task keep a hot one from holding up others.
-PAIRS_A_TASK = 256
+#: Pairs of an Arrow batch that are turned into Python values at a time.
+PAIRS_AT_ONCE = 256
+#: Nodes of the pairs whose results a worker remembers, at most.
+REMEMBERED = 1 << 20
 
 
 class Shape(NamedTuple):
@@ -141,45 +143,91 @@ class Distance:
 _MATCHED = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
 
 
+class _Kernel:
+    """Distances and mappings of pairs, each kind of pair computed once.
+
+    Both follow from the shapes, and from which labels are equal. So pairs of records that
+    one program wrote, of which there are few kinds, cost little more than reading them.
+    """
+
+    def __init__(self, costs: CostModel, algorithm: str, matched: bool):
+        self.costs, self.algorithm, self.matched = costs, algorithm, matched
+        self.known: dict[tuple, tuple[float, np.ndarray]] = {}
+        self.held = 0
+
+    def __call__(self, a: tuple, b: tuple) -> tuple[float, np.ndarray]:
+        """The distance of two trees, each given by labels, types and leftmost leaves."""
+        if not a[0] or not b[0]:
+            return float(len(a[0] or ()) * self.costs.delete + len(b[0] or ()) * self.costs.insert), np.empty((0, 2), np.int32)
+        names: dict[str, int] = {}
+        numbers = tuple(names.setdefault(x, len(names)) for x in (*a[0], *b[0]))
+        key = (numbers, tuple(a[1]), tuple(b[1]), tuple(a[2]), tuple(b[2]))
+        if (found := self.known.get(key)) is None:
+            made = Distance(shape(*a), shape(*b), self.costs, self.algorithm)
+            found = (made.total, np.array(made.mapping() if self.matched else [], np.int32).reshape(-1, 2))
+            if self.held > REMEMBERED:
+                self.known.clear()
+                self.held = 0
+            self.known[key] = found
+            self.held += len(numbers)
+        return found
+
+
+def measured(costs: CostModel, algorithm: str, *, matched: bool) -> Callable[[Column, Column], Column]:
+    """A function of two columns of node arrays: the distance, or a struct of the distance
+    ``ted`` and the mapping ``matched``. Null arrays are trees without nodes.
+
+    Only what it needs of the nodes goes to Python. It counts as not deterministic, so
+    that no filter on its result makes it run twice.
+    """
+    kernel = _Kernel(costs, algorithm, matched)
+    wanted = ("label", "node_type", "lml")
+
+    def values(trees: pa.Array, at: int) -> list[tuple]:
+        part = trees.slice(at, PAIRS_AT_ONCE)
+        return list(zip(*(part.field(k).to_pylist() for k in wanted)))
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        found = [kernel(x, y) for at in range(0, len(a), PAIRS_AT_ONCE) for x, y in zip(values(a, at), values(b, at))]
+        totals = pa.array([x for x, _ in found], pa.float64())
+        if not matched:
+            return totals
+        ends = np.cumsum([0, *(len(m) for _, m in found)]).astype(np.int32)
+        every = np.concatenate([np.empty((0, 2), np.int32), *(m for _, m in found)])
+        maps = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], ["i", "j"]))
+        return pa.StructArray.from_arrays([totals, maps], ["ted", "matched"])
+
+    run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    kind = T.StructType([T.StructField("ted", T.DoubleType()), T.StructField("matched", _MATCHED)]) if matched else T.DoubleType()
+    udf = F.arrow_udf(run, kind).asNondeterministic()
+    slim = lambda nodes: F.struct(*(nodes[k].alias(k) for k in wanted))
+    return lambda a, b: udf(slim(a), slim(b))
+
+
 def with_trees(pairs: DataFrame, trees: DataFrame) -> DataFrame:
     """Pairs (``src``, ``dst``) with both trees as ``src_nodes`` and ``dst_nodes``. Pairs
-    of which a document is missing or null stay, with null nodes."""
-    side = lambda x: trees.select(F.col("doc_id").alias(x), F.col("nodes").alias(f"{x}_nodes"))
+    of which a document is missing or null stay, with null nodes; repeated pairs stay apart.
+
+    Trees are never broadcast: their arrays are far larger than what a plan estimates.
+    """
+    side = lambda x: trees.select(F.col("doc_id").alias(x), F.col("nodes").alias(f"{x}_nodes")).hint("merge")
     return pairs.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
 
 
 def distances(pairs: DataFrame, costs: CostModel | dict | None = None, algorithm: str = "chawathe", *, matched: bool = True) -> DataFrame:
     """Pairs with trees, ``algorithm``, ``ted`` and (if wanted) the mapping ``matched``.
 
-    Where a tree is null, all of the other's nodes are inserted or deleted. Pairs are dealt
-    anew, a few to a task, as their cost has nothing to do with their size in bytes.
+    Where a tree is null, all of the other's nodes are inserted or deleted. Other columns
+    pass through; those of the result must not be among them. No row is shuffled.
     """
     checked_algorithm(algorithm)
-    model = CostModel.of(costs)
-    columns = [x for x in pairs.columns if x not in ("algorithm", "ted", "matched")]
-    packed = lambda s: F.struct(*(F.col(f"{s}_nodes.{k}").alias(k) for k in ("label", "node_type", "lml"))).alias(f"__{s}")
-    # A number of partitions that is asked for is not merged again by their bytes.
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pairs.select(*columns, packed("src"), packed("dst")).repartition(parts, "src", "dst")
-    schema = T.StructType([*pairs.select(*columns).schema.fields, T.StructField("algorithm", T.StringType()), T.StructField("ted", T.DoubleType()), *[T.StructField("matched", _MATCHED)] * matched])
-    pairs_type = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, PAIRS_A_TASK):
-                part = batch.slice(at, PAIRS_A_TASK)
-                totals, maps = [], []
-                for a, b in zip(part.column(len(columns)).to_pylist(), part.column(len(columns) + 1).to_pylist()):
-                    if not a["label"] or not b["label"]:
-                        totals.append(float(len(a["label"] or ()) * model.delete + len(b["label"] or ()) * model.insert))
-                        maps.append([])
-                        continue
-                    found = Distance(shape(a["label"], a["node_type"], a["lml"]), shape(b["label"], b["node_type"], b["lml"]), model, algorithm)
-                    totals.append(found.total)
-                    maps.append([{"i": i, "j": j} for i, j in found.mapping()] if matched else None)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array([algorithm] * len(totals)), pa.array(totals, pa.float64()), *([pa.array(maps, pairs_type)] if matched else [])], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
+    if clash := sorted({"algorithm", "ted", "matched"} & {x.lower() for x in pairs.columns}):
+        raise ValueError(f"the pairs already have columns {', '.join(clash)}")
+    found = measured(CostModel.of(costs), algorithm, matched=matched)(F.col("src_nodes"), F.col("dst_nodes"))
+    rows = pairs.select(*pairs.columns, F.lit(algorithm).alias("algorithm"), found.alias("__found"))
+    if not matched:
+        return rows.withColumnRenamed("__found", "ted")
+    return rows.select(*pairs.columns, "algorithm", "__found.ted", "__found.matched")
 
 
 def similarity(pairs: DataFrame) -> DataFrame:
@@ -192,13 +240,11 @@ def similarity(pairs: DataFrame) -> DataFrame:
 def both_ways(pairs: DataFrame, costs: CostModel | dict | None = None) -> DataFrame:
     """Both algorithms and both directions of each pair, and whether directions differ.
 
-    A row for each pair and algorithm: ``ted_fwd``, ``ted_rv``, ``asymmetric``.
+    A row for each pair and algorithm: ``ted_fwd``, ``ted_rv``, ``asymmetric``. All four
+    distances are taken in the pair's own row, so repeated pairs and null ids stay apart.
     """
-    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_nodes").alias("src_nodes"), F.col("src_nodes").alias("dst_nodes"))
-    out = None
-    for algorithm in ("chawathe", "nierman_jagadish"):
-        fwd = distances(pairs, costs, algorithm, matched=False).select("src", "dst", "algorithm", F.col("ted").alias("ted_fwd"))
-        rv = distances(back, costs, algorithm, matched=False).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("ted").alias("ted_rv"))
-        one = fwd.join(rv, ["src", "dst"]).withColumn("asymmetric", F.abs(F.col("ted_fwd") - F.col("ted_rv")) > EPS)
-        out = one if out is None else out.unionByName(one)
-    return out
+    model = CostModel.of(costs)
+    src, dst = F.col("src_nodes"), F.col("dst_nodes")
+    rows = pairs.select("src", "dst", *(measured(model, x, matched=False)(*ways).alias(f"{side}_{x}") for x in ALGORITHMS for side, ways in (("fwd", (src, dst)), ("rv", (dst, src)))))
+    each = F.explode(F.array(*(F.struct(F.lit(x).alias("algorithm"), F.col(f"fwd_{x}").alias("ted_fwd"), F.col(f"rv_{x}").alias("ted_rv")) for x in ALGORITHMS)))
+    return rows.select("src", "dst", each.alias("x")).select("src", "dst", "x.*").withColumn("asymmetric", F.abs(F.col("ted_fwd") - F.col("ted_rv")) > EPS)

@@ -8,16 +8,16 @@ node's new depth is its old one, less its deleted ancestors, plus its inserted o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from treeloom.model import ELEMENT, NODE, TREE
-from treeloom.operators.distance import distances
+from treeloom.model import ELEMENT, NODE
+from treeloom.operators.distance import PAIRS_AT_ONCE, distances, measured
+from treeloom.operators.script import with_ops
 from treeloom.sources.config import CostModel
 from treeloom.sources.xml import numbered
 
@@ -40,7 +40,7 @@ def patched(nodes: list[dict], ops: list[dict]) -> list[tuple]:
             ends.append(x["pre"] + x["subtree_size"])
         else:
             change = renamed.get(x["node_id"])
-            kept.append([change["new_label"], change["new_type"], False] if change else [x["label"], x["node_type"], x["attribute"]])
+            kept.append([change["new_label"], change["new_type"], bool(change.get("dst_attribute"))] if change else [x["label"], x["node_type"], x["attribute"]])
             kept[-1].append(x["depth"] - len(ends))
     ends, k, root = [], 0, []
     above: list[tuple[int, list]] = [(-1, root)]  # depth and children of the open nodes
@@ -63,36 +63,80 @@ def patched(nodes: list[dict], ops: list[dict]) -> list[tuple]:
         if x:
             while ends and place >= ends[-1]:
                 ends.pop()
-            put(x["label"], x["node_type"], False, x["dst_depth"])
+            put(x["label"], x["node_type"], bool(x.get("dst_attribute")), x["dst_depth"])
             ends.append(place + x["dst_size"])
             place += 1
     return numbered(root[0] if len(root) == 1 else ("", ELEMENT, root, False))
 
 
+#: What patching reads of nodes and of operations.
+_OF_NODES = ("node_id", "pre", "subtree_size", "depth", "label", "node_type", "attribute")
+_OF_OPS = ("op_type", "src_node", "label", "node_type", "new_label", "new_type", "dst_pre", "dst_size", "dst_depth", "dst_attribute")
+
+
+def _patch() -> Column:
+    """The node array of the patched source, from ``src_nodes`` and ``ops``."""
+    kind = to_arrow_schema(T.StructType([T.StructField("nodes", T.ArrayType(NODE))])).field(0).type
+
+    def rows(values: pa.Array, names: tuple[str, ...]) -> list[list[dict]]:
+        return [[dict(zip(names, x)) for x in zip(*each)] if each[0] else [] for each in zip(*(values.field(k).to_pylist() for k in names))]
+
+    def run(trees: pa.Array, ops: pa.Array) -> pa.Array:
+        sizes, every = [0], []
+        for at in range(0, len(trees), PAIRS_AT_ONCE):
+            for nodes, script in zip(rows(trees.slice(at, PAIRS_AT_ONCE), _OF_NODES), rows(ops.slice(at, PAIRS_AT_ONCE), _OF_OPS)):
+                made = patched(nodes, script)
+                sizes.append(len(made))
+                every += made
+        columns = zip(*every) if every else [[] for _ in NODE]
+        fields = [pa.array(list(x), f.type) for x, f in zip(columns, kind.value_type)]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.StructArray.from_arrays(fields, fields=list(kind.value_type)))
+
+    run.__annotations__ = {"trees": pa.Array, "ops": pa.Array, "return": pa.Array}
+    udf = F.arrow_udf(run, T.ArrayType(NODE)).asNondeterministic()
+    slim = lambda c, names: F.struct(*(F.col(c)[k].alias(k) for k in names))
+    return udf(slim("src_nodes", _OF_NODES), slim("ops", _OF_OPS))
+
+
 def apply(scripts: DataFrame) -> DataFrame:
-    """A tree table of the patched sources, by ``src``; pairs stay apart by ``dst``.
+    """The scripts with the patched sources as ``nodes`` and their sizes ``n``.
 
-    ``doc_id`` is the source's; null sources are patched as trees without nodes.
+    Null sources are patched as trees without nodes. All other columns stay, so the row
+    still has its target; repeated pairs stay apart.
     """
-    names, kind = NODE.fieldNames(), to_arrow_schema(T.StructType([T.StructField("nodes", T.ArrayType(NODE))])).field(0).type
-    schema = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), *TREE.fields[1:]])
+    return scripts.withColumn("nodes", _patch()).withColumn("n", F.size("nodes"))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            trees = [[dict(zip(names, x)) for x in patched(nodes or [], ops or [])] for nodes, ops in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([*map(len, trees)], pa.int32()), pa.array(trees, kind)], names=schema.names)
+def _unlike(a: str, b: str) -> Column:
+    """Whether two trees differ in labels or shape."""
+    form = lambda c: F.transform(c, lambda x: F.struct(x["label"], x["subtree_size"]))
+    return ~F.coalesce(form(a), F.array().cast("array<struct<label:string,subtree_size:int>>")).eqNullSafe(F.coalesce(form(b), F.array().cast("array<struct<label:string,subtree_size:int>>")))
 
-    return scripts.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "src_nodes", "ops").mapInArrow(run, schema)
+
+def residual(scripts: DataFrame, costs: CostModel | dict | None = None) -> DataFrame:
+    """The patched scripts with ``residual``: the distance (one relabel price, whatever
+    priced the script) from the patched source to its target; 0 is a perfect patch.
+
+    A patched source that equals its target skips the kernel.
+    """
+    made = apply(scripts).withColumn("__unlike", _unlike("nodes", "dst_nodes"))
+    rest = lambda c: F.when(F.col("__unlike"), F.col(c))
+    return made.withColumn("residual", measured(CostModel.of(costs), "chawathe", matched=False)(rest("nodes"), rest("dst_nodes"))).drop("__unlike")
 
 
-def residual(scripts: DataFrame, costs: CostModel | dict | None = None, max_rounds: int = 5) -> DataFrame:
-    """``src``, ``dst``, ``residual``: the distance (one relabel price, whatever priced the
-    script) from each patched source to its target; 0 is a perfect patch.
+def refined(scripts: DataFrame, costs: CostModel | dict | None = None, max_rounds: int = 5) -> DataFrame:
+    """``src``, ``dst``, ``residual`` and the ``rounds`` of patching that were made.
 
-    One pass is exact for a whole script, so rounds are only counted: ``rounds`` is 1, or
-    ``max_rounds`` where an incomplete script leaves a rest that more passes can't mend.
+    Where the first round leaves a rest (its script was not whole), a second one patches by
+    a whole script of what is left, which is exact: so rounds are 1 or 2, however many more
+    are allowed, and 1 if no more are.
     """
-    made = apply(scripts).withColumnRenamed("nodes", "src_nodes").drop("n")
-    pairs = made.join(scripts.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "dst_nodes"), ["src", "dst"])
-    rest = distances(pairs, costs, "chawathe", matched=False)
-    return rest.select("src", "dst", F.col("ted").alias("residual"), F.when(F.col("ted") == 0, 1).otherwise(max_rounds).alias("rounds"))
+    if max_rounds < 1:
+        raise ValueError("max_rounds must be 1 or more")
+    first = residual(scripts, costs).select("src", "dst", "nodes", "dst_nodes", "residual")
+    if max_rounds == 1:
+        return first.select("src", "dst", "residual", F.lit(1).alias("rounds"))
+    left = lambda c: F.when(F.col("residual") != 0, F.col(c)).alias(c)
+    again = first.select("src", "dst", (F.col("residual") != 0).alias("again"), left("nodes").alias("src_nodes"), left("dst_nodes"))
+    second = residual(with_ops(distances(again, costs), costs), costs)
+    return second.select("src", "dst", F.when(F.col("again"), F.col("residual")).otherwise(0.0).alias("residual"), F.when(F.col("again"), 2).otherwise(1).alias("rounds"))

@@ -13,7 +13,7 @@ from treeloom.model import LEAF
 from treeloom.sources.config import CostModel
 
 #: Columns of an operation; src and dst numbers say what patching needs to know.
-OP = ["op_type", "cost", "src_node", "dst_node", "label", "node_type", "new_label", "new_type", "path", "parent_path", "parent_label", "position", "src_parent", "field", "src_pre", "src_size", "src_depth", "dst_pre", "dst_size", "dst_depth"]
+OP = ["op_type", "cost", "src_node", "dst_node", "label", "node_type", "new_label", "new_type", "path", "parent_path", "parent_label", "position", "src_parent", "field", "src_pre", "src_size", "src_depth", "dst_pre", "dst_size", "dst_depth", "src_attribute", "dst_attribute"]
 
 
 def _op(kind: str, cost: Column, a: Column | None, b: Column | None, **more: Column) -> Column:
@@ -26,6 +26,7 @@ def _op(kind: str, cost: Column, a: Column | None, b: Column | None, **more: Col
         "new_label": b["label"] if kind == "relabel" else null("string"), "new_type": b["node_type"] if kind == "relabel" else null("string"), "path": own["path"],
         "parent_path": null("string"), "parent_label": null("string"), "position": null("int"), "src_parent": null("int"), "field": own["field"],
         "src_pre": of(a, "pre", "int"), "src_size": of(a, "subtree_size", "int"), "src_depth": of(a, "depth", "int"), "dst_depth": of(b, "depth", "int"), "dst_pre": of(b, "pre", "int"), "dst_size": of(b, "subtree_size", "int"),
+        "src_attribute": of(a, "attribute", "boolean"), "dst_attribute": of(b, "attribute", "boolean"),
     } | more
     return F.struct(*(values[k].alias(k) for k in OP))
 
@@ -60,11 +61,16 @@ def edit_ops(scripts: DataFrame) -> DataFrame:
     return scripts.select("src", "dst", "algorithm", F.posexplode("ops").alias("k", "op")).select("src", "dst", "algorithm", (F.col("k") + 1).alias("op_seq"), "op.*")
 
 
+def op_counts() -> dict[str, Column]:
+    """Columns of a row's ``ops``: how many of each kind (0 if none), all, their total cost."""
+    number = lambda kind: F.size(F.filter("ops", lambda x: x["op_type"] == kind)).cast("long")
+    cost = F.aggregate("ops", F.lit(0.0), lambda acc, x: acc + x["cost"])
+    return {**{f"{kind}s": number(kind) for kind in ("insert", "delete", "relabel")}, "total_ops": F.size("ops").cast("long"), "total_cost": cost}
+
+
 def counted(scripts: DataFrame) -> DataFrame:
     """For each pair: operations of each kind (0 if none), all, and their total cost."""
-    number = lambda kind: F.size(F.filter("ops", lambda x: x["op_type"] == kind)).cast("long").alias(f"{kind}s")
-    cost = F.aggregate("ops", F.lit(0.0), lambda acc, x: acc + x["cost"]).alias("total_cost")
-    return scripts.select("src", "dst", "algorithm", "ted", *map(number, ("insert", "delete", "relabel")), F.size("ops").cast("long").alias("total_ops"), cost)
+    return scripts.select("src", "dst", "algorithm", "ted", *(c.alias(k) for k, c in op_counts().items()))
 
 
 def preview(scripts: DataFrame, first: int = 10) -> DataFrame:
@@ -89,7 +95,7 @@ def _plain(x: Column) -> Column:
 def inverted(scripts: DataFrame, costs: CostModel | dict | None = None) -> DataFrame:
     """The scripts from target to source: kinds, labels, types and numbers change sides."""
     model = CostModel.of(costs)
-    swap = {"src_node": "dst_node", "dst_node": "src_node", "src_pre": "dst_pre", "dst_pre": "src_pre", "src_size": "dst_size", "dst_size": "src_size", "src_depth": "dst_depth", "dst_depth": "src_depth"}
+    swap = {"src_node": "dst_node", "dst_node": "src_node", "src_pre": "dst_pre", "dst_pre": "src_pre", "src_size": "dst_size", "dst_size": "src_size", "src_depth": "dst_depth", "dst_depth": "src_depth", "src_attribute": "dst_attribute", "dst_attribute": "src_attribute"}
     back = lambda x: F.struct(
         *(
             {

@@ -22,12 +22,19 @@ def candidates(trees: DataFrame, limit: int) -> DataFrame:
     tokens = labels.select("doc_id", "n", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("k"), "label")
     often = tokens.groupBy("label", "k").agg(F.count(F.lit(1)).alias("often"))
     bag = tokens.join(often, ["label", "k"]).groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "label", "k"))).alias("bag"))
-    first = bag.select("doc_id", "n", "bag", F.explode(F.slice("bag", 1, limit + 1)).alias("token"))
-    close = "a.doc_id < b.doc_id AND abs(a.n - b.n) <= {0} AND greatest(a.n, b.n) - size(array_intersect(a.bag, b.bag)) <= {0}".format(limit)
-    shared = first.alias("a").join(first.alias("b"), F.expr("a.token = b.token AND " + close)).select(F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst"))
-    small = bag.where(F.col("n") <= limit).withColumn("to", F.explode(F.sequence(F.greatest(F.col("n") - limit, F.lit(1)), F.lit(limit))))
-    by_size = small.alias("a").join(small.where("n = to").alias("b"), F.expr("a.to = b.to AND " + close)).select(F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst"))
-    return shared.unionByName(by_size).distinct()
+    # Slim rows meet: a token, its place and the size. Bags are joined to what is left.
+    first = bag.select("doc_id", "n", F.posexplode(F.slice("bag", 1, limit + 1)).alias("at", "token"))
+    near = f"a.doc_id < b.doc_id AND abs(a.n - b.n) <= {limit}"
+    shared = first.alias("a").join(first.alias("b"), F.expr(f"a.token = b.token AND {near} AND greatest(a.n, b.n) - {limit} <= least(a.n - a.at, b.n - b.at)"))
+    # Trees of no more nodes than the limit are all within it of each other, so each of
+    # these pairs is a result.
+    small = bag.where(F.col("n") <= limit).select("doc_id", "n", F.explode(F.sequence(F.greatest(F.col("n") - limit, F.lit(1)), F.lit(limit))).alias("to"))
+    by_size = small.alias("a").join(small.where("n = to").alias("b"), F.expr(f"a.to = b.to AND {near}"))
+    pair = [F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst")]
+    pairs = shared.select(*pair).unionByName(by_size.select(*pair)).distinct()
+    side = lambda x: bag.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("bag").alias(f"{x}_bag")).hint("merge")
+    both = pairs.join(side("src"), "src").join(side("dst"), "dst")
+    return both.where(F.greatest("src_n", "dst_n") - F.size(F.array_intersect("src_bag", "dst_bag")) <= limit).select("src", "dst")
 
 
 def within(trees: DataFrame, limit: int) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from datetime import datetime
 from html import escape
 from xml.dom import minidom
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from treeloom.functions.text import xml_escaped
 from treeloom.model import ELEMENT, LEAF
 from treeloom.operators.distance import similarity
-from treeloom.operators.semantic import change_summary
+from treeloom.operators.semantic import category
 
 DIFF_NAMESPACE = "urn:idpa:diff:1.0"
 
@@ -108,16 +109,16 @@ def wikitext(nodes: list[dict]) -> str:
 
 # The sections of a record's page, their fields, and how fields are called.
 SECTIONS = [
-    ("", "conventional_long_name common_name native_name national_motto national_anthem map_caption"),
-    ("", "capital largest_city official_languages languages languages_type languages2 languages2_type demonym ethnic_groups ethnic_groups_year religion religion_year coordinates"),
-    ("Government", "government_type legislature upper_house lower_house"),
-    ("Area", "area_km2 area_rank area_sq_mi percent_water"),
-    ("Population", "population_estimate population_estimate_year population_estimate_rank population_census population_census_year population_density_km2 population_density_sq_mi"),
-    ("GDP (PPP)", "GDP_PPP GDP_PPP_year GDP_PPP_rank GDP_PPP_per_capita GDP_PPP_per_capita_rank"),
-    ("GDP (nominal)", "GDP_nominal GDP_nominal_year GDP_nominal_rank GDP_nominal_per_capita GDP_nominal_per_capita_rank"),
-    ("Development", "Gini Gini_year Gini_change HDI HDI_year HDI_change HDI_rank"),
-    ("Miscellaneous", "currency currency_code time_zone utc_offset time_zone_DST utc_offset_DST drives_on calling_code cctld iso3166code"),
-]
+    ("", ("conventional_long_name", "common_name", "native_name", "national_motto", "national_anthem", "map_caption")),
+    ("", ("capital", "largest_city", "official_languages", "languages", "languages_type", "languages2", "languages2_type", "demonym", "ethnic_groups", "ethnic_groups_year", "religion", "religion_year", "coordinates")),
+    ("Government", ("government_type", "legislature", "upper_house", "lower_house")),
+    ("Area", ("area_km2", "area_rank", "area_sq_mi", "percent_water")),
+    ("Population", ("population_estimate", "population_estimate_year", "population_estimate_rank", "population_census", "population_census_year", "population_density_km2", "population_density_sq_mi")),
+    ("GDP (PPP)", ("GDP_PPP", "GDP_PPP_year", "GDP_PPP_rank", "GDP_PPP_per_capita", "GDP_PPP_per_capita_rank")),
+    ("GDP (nominal)", ("GDP_nominal", "GDP_nominal_year", "GDP_nominal_rank", "GDP_nominal_per_capita", "GDP_nominal_per_capita_rank")),
+    ("Development", ("Gini", "Gini_year", "Gini_change", "HDI", "HDI_year", "HDI_change", "HDI_rank")),
+    ("Miscellaneous", ("currency", "currency_code", "time_zone", "utc_offset", "time_zone_DST", "utc_offset_DST", "drives_on", "calling_code", "cctld", "iso3166code")),
+]
 LABELS = {
     "conventional_long_name": "Official name", "common_name": "Common name", "native_name": "Native name", "national_motto": "Motto", "national_anthem": "Anthem", "capital": "Capital", "largest_city": "Largest city",
     "official_languages": "Official languages", "languages": "Languages", "languages_type": "Languages type", "languages2": "Recognised languages", "languages2_type": "Languages (other) type", "demonym": "Demonym",
@@ -130,7 +131,7 @@ LABELS = {
     "HDI_change": "HDI change", "HDI_rank": "HDI rank", "currency": "Currency", "currency_code": "Currency code", "time_zone": "Time zone", "utc_offset": "UTC offset", "utc_offset_DST": "UTC offset (DST)",
     "time_zone_DST": "Time zone (DST)", "drives_on": "Driving side", "calling_code": "Calling code", "cctld": "Internet TLD", "iso3166code": "ISO 3166 code", "coordinates": "Coordinates", "map_caption": "Map caption",
 }
-LISTED = frozenset(x for _, fields in SECTIONS for x in fields.split()) | {"established", "leaders"}
+LISTED = frozenset(x for _, fields in SECTIONS for x in fields) | {"established", "leaders"}
 
 
 def infobox_page(nodes: list[dict], name: str, subtitle: str = "") -> str:
@@ -151,7 +152,7 @@ def infobox_page(nodes: list[dict], name: str, subtitle: str = "") -> str:
         return [f"<tr><th>{escape(label)}</th><td>{value}</td></tr>"] if value else []
 
     for title, fields in SECTIONS:
-        section(title, [line for f in fields.split() if f in by_label for line in field(by_label[f])])
+        section(title, [line for f in fields if f in by_label for line in field(by_label[f])])
     for label, title, first, second in (("leaders", "Leadership", "title", "name"), ("established", "Established", "label", "date")):
         if label in by_label:
             section(title, [f"<tr><th>{escape(a or '')}</th><td>{escape(b or '')}</td></tr>" for a, b in record.pairs(by_label[label], first, second) if a or b], always=True)
@@ -211,8 +212,13 @@ def diff_documents(scripts: DataFrame) -> DataFrame:
     return measured.select("src", "dst", F.concat(head, F.array_join(F.transform("ops", op), ""), F.lit("  </idf:operations>\n</idf:diff>\n")).alias("idf"))
 
 
-def diff_page(forward: DataFrame, backward: DataFrame, costs: dict | None = None) -> DataFrame:
-    """``src``, ``dst`` and an HTML page with both directions' counts and operations."""
+def diff_page(forward: DataFrame, backward: DataFrame, costs: dict | None = None, on: list[str] | None = None) -> DataFrame:
+    """``src``, ``dst`` and an HTML page with both directions' counts and operations.
+
+    Directions of a pair meet by ids and algorithm, or by the columns ``on``, which tell
+    repeated pairs apart.
+    """
+    on = on or ["src", "dst", "algorithm"]
 
     def cell(x: Column, k: Column) -> Column:
         short = lambda c: xml_escaped(F.substring(c, 1, 60))
@@ -230,28 +236,39 @@ def diff_page(forward: DataFrame, backward: DataFrame, costs: dict | None = None
         stats = F.concat(F.lit("<p>ops "), F.size("ops").cast("string"), F.lit(", inserts "), number("insert"), F.lit(", deletes "), number("delete"), F.lit(", relabels "), number("relabel"), F.lit(", cost "), _whole(cost), F.lit("</p>"))
         body = F.concat(F.lit("<h2>"), xml_escaped("src"), F.lit(" → "), xml_escaped("dst"), F.lit("</h2>"), stats, F.lit("<table><tr><th>#</th><th>Op</th><th>Detail</th><th>Path</th><th>Cost</th></tr>"), F.array_join(F.transform("ops", cell), "\n"), F.lit("</table>"))
         a, b = ("src", "dst") if s == "fwd" else ("dst", "src")
-        return scripts.select(F.col(a).alias("src"), F.col(b).alias("dst"), "algorithm", F.size("src_nodes").alias(f"{s}_n"), body.alias(s))
+        named = scripts.withColumns({s: body, f"{s}_n": F.size("src_nodes"), "src": F.col(a), "dst": F.col(b)})
+        return named.select(*(["src", "dst", "algorithm"] if s == "fwd" else []), *(c for c in on if s != "fwd" or c not in ("src", "dst", "algorithm")), f"{s}_n", s)
 
     shown = escape(str({k: v for k, v in (costs or {}).items() if not k.startswith("_")}))
-    both = section(forward, "fwd").join(section(backward, "rv"), ["src", "dst", "algorithm"])
+    both = section(forward, "fwd").join(section(backward, "rv"), on)
     title = F.concat(xml_escaped("src"), F.lit(" vs "), xml_escaped("dst"))
     meta = F.concat(F.lit("<p>Source "), xml_escaped("src"), F.lit(" ("), F.col("fwd_n").cast("string"), F.lit(" nodes), target "), xml_escaped("dst"), F.lit(" ("), F.col("rv_n").cast("string"), F.lit(" nodes), algorithm "), "algorithm", F.lit(f", costs <code>{shown}</code></p>"))
     return both.select("src", "dst", F.concat(F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>Diff: '), title, F.lit("</title></head><body><h1>Diff: "), title, F.lit("</h1>"), meta, "fwd", "rv", F.lit("</body></html>\n")).alias("html"))
 
 
-def report(scripts: DataFrame) -> DataFrame:
+def report(scripts: DataFrame, at: datetime | None = None) -> DataFrame:
     """``src``, ``dst`` and a comparison in Markdown: metrics, counts, and the first five
-    changes of each category, the largest category first."""
-    change = lambda x: F.when(x["op_type"] == "relabel", F.concat(F.lit("- **relabel** `"), x["field"], F.lit("`: `"), x["from_val"], F.lit("` → `"), x["to_val"], F.lit("`"))).otherwise(F.concat(F.lit("- **"), x["op_type"], F.lit("** `"), x["field"], F.lit("` (`"), x["label"], F.lit("`)")))
-    more = F.when(F.col("count") > 5, F.concat(F.lit("\n- *... and "), (F.col("count") - 5).cast("string"), F.lit(" more*"))).otherwise("")
-    lines = F.concat(F.lit("\n### "), F.initcap("category"), F.lit(" ("), F.col("count").cast("string"), F.lit(" changes: "), F.col("inserts").cast("string"), F.lit("ins, "), F.col("deletes").cast("string"), F.lit("del, "), F.col("relabels").cast("string"), F.lit("rel)\n"), F.array_join(F.transform(F.slice("changes", 1, 5), change), "\n"), more)
-    summary = change_summary(scripts)
-    by_pair = summary.groupBy("src", "dst").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("k"), "first_seq", lines.alias("x")))).alias("xs"), F.sum("inserts").alias("i"), F.sum("deletes").alias("d"), F.sum("relabels").alias("r"), F.sum("count").alias("all"))
-    measured = similarity(scripts).join(by_pair, ["src", "dst"], "left")
-    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    changes of each category, the largest category first. All of it comes from the pair's
+    own row; ``at`` is the time that it states, by default now."""
+    change = lambda x: F.when(x["op_type"] == "relabel", F.concat(F.lit("- **relabel** `"), x["field"], F.lit("`: `"), x["label"], F.lit("` → `"), x["new_label"], F.lit("`"))).otherwise(F.concat(F.lit("- **"), x["op_type"], F.lit("** `"), x["field"], F.lit("` (`"), x["label"], F.lit("`)")))
+    rows = similarity(scripts).withColumn("cats", F.transform("ops", lambda x: category(x["field"])))
+    of = lambda c: F.filter("ops", lambda x, i: F.get(F.col("cats"), i) == c)
+    # Of categories with as many changes, the one that comes first in the script.
+    rows = rows.withColumn("groups", F.transform(F.array_distinct("cats"), lambda c, k: F.struct((-F.size(of(c))).alias("k"), k.alias("first"), c.alias("category"), of(c).alias("ops"))))
+    number = lambda ops, kind: F.size(F.filter(ops, lambda x: x["op_type"] == kind)).cast("string")
+
+    def section(g: Column) -> Column:
+        n = F.size(g["ops"])
+        more = F.when(n > 5, F.concat(F.lit("\n- *... and "), (n - 5).cast("string"), F.lit(" more*"))).otherwise("")
+        counts = [F.lit(" changes: "), number(g["ops"], "insert"), F.lit("ins, "), number(g["ops"], "delete"), F.lit("del, "), number(g["ops"], "relabel"), F.lit("rel)\n")]
+        return F.concat(F.lit("\n### "), F.initcap(g["category"]), F.lit(" ("), n.cast("string"), *counts, F.array_join(F.transform(F.slice(g["ops"], 1, 5), change), "\n"), more)
+
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("string")
+    kind = lambda k: number(F.col("ops"), k)
     text = F.concat(
-        F.lit("# Comparison: "), "src", F.lit(" vs "), "dst", F.lit("\n\n## Structural similarity\n- **Tree edit distance**: "), _whole(F.col("raw_ted")), F.lit("\n- **Nodes**: "), F.size("src_nodes").cast("string"), F.lit(", "), F.size("dst_nodes").cast("string"),
-        F.lit("\n- **Similarity (inverse)**: "), F.format_string("%.4f", "sim_inverse"), F.lit("\n- **Similarity (ratio)**: "), F.format_string("%.4f", "sim_ratio"), F.lit("\n\n## Edit operations ("), whole("all"), F.lit(" total)\n- Inserts: "), whole("i"),
-        F.lit("\n- Deletes: "), whole("d"), F.lit("\n- Relabels: "), whole("r"), F.lit("\n\n## Changes by category\n"), F.coalesce(F.array_join(F.transform("xs", lambda x: x["x"]), "\n"), F.lit("")),
+        F.lit("# Country Comparison: "), "src", F.lit(" vs "), "dst", F.lit(f"\n*Generated: {at or datetime.now():%Y-%m-%d %H:%M}*\n\n## Structural Similarity (TED)\n- **Tree Edit Distance**: "), F.col("raw_ted").cast("string"),
+        F.lit("\n- **"), "src", F.lit(" nodes**: "), size("src_nodes"), F.lit(", **"), "dst", F.lit(" nodes**: "), size("dst_nodes"),
+        F.lit("\n- **Similarity (inverse)**: "), F.format_string("%.4f", "sim_inverse"), F.lit("\n- **Similarity (ratio)**: "), F.format_string("%.4f", "sim_ratio"), F.lit("\n\n## Edit Operations ("), size("ops"),
+        F.lit(" total)\n- Inserts: "), kind("insert"), F.lit("\n- Deletes: "), kind("delete"), F.lit("\n- Relabels: "), kind("relabel"), F.lit("\n\n## Changes by Category\n"), F.array_join(F.transform(F.sort_array(F.transform("groups", lambda g: F.struct(g["k"], g["first"], section(g).alias("text")))), lambda g: g["text"]), "\n"),
     )
-    return measured.select("src", "dst", text.alias("report"))
+    return rows.select("src", "dst", text.alias("report"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from treeloom.functions.text import strip
+from treeloom.operators.shape import build_xml
 
 
 def available(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -31,8 +31,11 @@ def resolve(requests: DataFrame, documents: DataFrame, name: str = "name", doc_i
 
 
 def missing(names: DataFrame, documents: DataFrame, name: str = "name") -> DataFrame:
-    """Names without a document: what an idempotent collection has still to fetch."""
-    return names.join(available(documents).withColumnRenamed("name", name), name, "left_anti")
+    """Names without a document: what an idempotent collection has still to fetch.
+
+    A document's id is its name with underscores for spaces."""
+    key = lambda c: F.translate(F.col(c), " ", "_").alias("__key")
+    return names.select("*", key(name)).join(documents.select(key("doc_id")).distinct(), "__key", "left_anti").drop("__key")
 
 
 def chosen_template(templates: Column, prefixes: tuple[str, ...] = ("infobox country", "infobox sovereign state")) -> Column:
@@ -42,7 +45,15 @@ def chosen_template(templates: Column, prefixes: tuple[str, ...] = ("infobox cou
     return F.filter(F.get(named, 0)["fields"], lambda x: x["key"] != "template")
 
 
-def first_in_order(df: DataFrame, key: str, order: str, within: str) -> DataFrame:
-    """The first row of each key within each group."""
-    window = Window.partitionBy(within, key).orderBy(order)
-    return df.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
+def collected(names: DataFrame, fetched: DataFrame, documents: DataFrame, *, strategy: str = "single_node", aliases: dict[str, str] | None = None) -> DataFrame:
+    """New documents for the names that have none yet: ``doc_id``, ``name``, ``xml``, ``error``.
+
+    ``fetched`` has ``name`` and ``templates``, the templates of the page of that name. A
+    name without a page, or whose page has no such template, gets a null ``xml`` and an
+    error. What is in ``documents`` is not made again, so a run can be repeated.
+    """
+    wanted = missing(names.select("name").where("name IS NOT NULL").distinct(), documents)
+    record = wanted.join(fetched.select("name", chosen_template("templates").alias("fields")).hint("merge"), "name", "left")
+    made = build_xml(record.select(F.struct("name", F.col("fields").isNotNull().alias("found")).alias("doc_id"), "name", "fields"), strategy=strategy, aliases=aliases)
+    name, found = F.col("doc_id")["name"], F.col("doc_id")["found"]
+    return made.select(F.translate(name, " ", "_").alias("doc_id"), name.alias("name"), F.when(found, F.col("xml")).alias("xml"), F.when(~found, F.concat(F.lit("no infobox for "), name)).alias("error"))

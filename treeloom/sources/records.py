@@ -34,11 +34,12 @@ def from_fields(df: DataFrame, doc_id: str | Column, root: str, fields: Column)
     return rows.select("doc_id", n.cast("int").alias("n"), F.concat(F.flatten(F.transform("fields", pair)), F.array(top)).alias("nodes"))
 
 
-def from_items(df: DataFrame, doc_id: str | Column, root: str, items: Column) -> DataFrame:
-    """Flat trees: a root with a leaf for each string of the array ``items``."""
+def from_items(df: DataFrame, doc_id: str | Column, root: str | Column, items: Column) -> DataFrame:
+    """Flat trees: a root, named by a string or a column, with a leaf for each string of the
+    array ``items``."""
     doc = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    rows = df.select(doc.cast("string").alias("doc_id"), items.alias("items"))
-    n = F.size("items") + 1
-    leaves = F.transform("items", lambda x, k: _node(k + 1, k + 2, n, k, 1, x, LEAF, 1, F.concat_ws("/", F.lit(root), x), x))
-    top = _node(n, 1, F.lit(None), 0, 0, F.lit(root), ELEMENT, n, F.lit(root), F.lit(root))
+    rows = df.select(doc.cast("string").alias("doc_id"), items.alias("items"), (root if isinstance(root, Column) else F.lit(root)).alias("root"))
+    n, name = F.size("items") + 1, F.col("root")
+    leaves = F.transform("items", lambda x, k: _node(k + 1, k + 2, n, k, 1, x, LEAF, 1, F.concat_ws("/", name, x), x))
+    top = _node(n, 1, F.lit(None), 0, 0, name, ELEMENT, n, name, name)
     return rows.select("doc_id", n.cast("int").alias("n"), F.concat(leaves, F.array(top)).alias("nodes"))
