@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
+from treeloom.llm import pipeline
 from treeloom.llm.common import table
 from treeloom.llm.fingerprint import op8
 from treeloom.llm.html_text import op9
@@ -23,7 +23,7 @@ from treeloom.llm.token_counts import op2
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_best_fit_packing": lambda spark, d: op1(table(spark, d, "documents")),
         "op2_token_counts": lambda spark, d: op2(table(spark, d, "documents")),
         "op3_line_dedup": lambda spark, d: op3(table(spark, d, "documents")),
