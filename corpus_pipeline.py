@@ -1,104 +1,5 @@
-"""A training corpus from raw documents, in five stages.
+"""The corpus pipeline's entry; its stages are in ``treeloom.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All
-but the last return the columns of ``documents``, whichever those are; the last returns the
-pieces of documents with their places in packed sequences.
-"""
+from treeloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from treeloom.llm.common import checkpointed, table
-from treeloom.llm.language_id import fit, identify, trained_on
-from treeloom.llm.line_dedup import HAS_WORD, dedup_lines
-from treeloom.llm.mixing import mix
-from treeloom.llm.packing import pack_documents, words
-from treeloom.llm.shingle_sets import roots
-from treeloom.llm.simhash import fingerprints, linked_components
-
-
-def _whole(docs: DataFrame) -> Column:
-    """A hash of all columns, by which rows of equal ids are told apart."""
-    return F.xxhash64(*docs.columns)
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language compression tells; a missing ``lang`` becomes that language.
-
-    What is rejected (no letter, or two languages too near each other) goes.
-    """
-    found = identify(docs, fit(trained_on(docs)), "doc_id", "text", *docs.columns).where("NOT rejected")
-    return found.select(*(F.coalesce("kept.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"kept.{c}").alias(c) for c in docs.columns))
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are similar to an earlier one.
-
-    ``n_chars`` becomes that of what is left. A document whose every worded line went goes.
-    """
-    out = dedup_lines(docs, "doc_id", "text", *(c for c in docs.columns if c != "text"))
-    left = out.where((F.col("n_removed") == 0) | F.col("text").rlike(HAS_WORD))
-    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("kept.n_chars")).otherwise(F.char_length("text")).cast("long")}
-    return left.select(*(changed[c].alias(c) if c in changed else F.col(f"kept.{c}").alias(c) for c in docs.columns))
-
-
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id, null ids last.
-
-    Near copies are linked by fingerprints of 3 differing bits at most, or by sets of
-    five-word shingles whose Jaccard similarity is 0.8 at least. Of a group's different rows
-    with that id, the one whose hash is least stays; of equal ones, one. Rows in different
-    groups do not matter to each other, whatever their ids.
-    """
-    rows = docs.select(*docs.columns, _whole(docs).alias("__row"), F.xxhash64("text").alias("__text"))
-    prints = checkpointed(linked_components(checkpointed(fingerprints(rows, "doc_id", "text", "__row", "__text"))).select("doc_id", "__row", "__text", "root"))
-    least = prints.groupBy("root").agg(F.min("__text").alias("v"))
-    linked = checkpointed(prints.join(least, "root").where("__text <> v").select(F.col("__text").alias("u"), "v").distinct())
-    found = roots(rows.select(F.col("__text").alias("node"), "text"), linked, prints.count())
-    if found is not None:
-        prints = prints.join(found.select(F.col("node").alias("__text"), F.col("root").alias("__joined")), "__text", "left").withColumn("root", F.coalesce("__joined", "__text"))
-    least = prints.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row"))
-    kept = docs.withColumn("__row", _whole(docs)).join(least.select("__row"), "__row", "left_semi").drop("__row")
-    return kept.dropDuplicates() if _has_repeats(prints.select("__row")) else kept
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: up to three times, or not at all."""
-    sized = checkpointed(docs.select(_whole(docs).alias("__row"), "source", words().alias("size")))
-    taken = mix(sized, "__row").groupBy(F.col("doc_id").alias("__row")).agg(F.count(F.lit(1)).cast("int").alias("__times"))
-    rows = docs.dropDuplicates() if _has_repeats(sized.select("__row")) else docs
-    out = rows.withColumn("__row", _whole(docs)).join(taken, "__row")
-    return out.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
-
-
-def _has_repeats(rows: DataFrame) -> bool:
-    return not rows.groupBy("__row").count().where("count > 1").isEmpty()
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each as often as the mix has it, packed by their number of words."""
-    return pack_documents(checkpointed(docs.select("doc_id", words().alias("n_tokens"))))
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("line_dedup", line_dedup),
-    ("simhash_near_dedup", simhash_near_dedup),
-    ("mix_sources", mix_sources),
-    ("best_fit_packing", best_fit_packing),
-]
-
-#: Compression sizes, hash bits and best-fit packing are beyond SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result cut from what it came of."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
