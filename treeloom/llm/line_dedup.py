@@ -145,14 +145,15 @@ def removed_lines(docs: DataFrame, key: list[str], num: int, den: int) -> tuple[
     # first token that they share, so one looks for an earlier one among those alone.
     lists = _by_document(met.groupBy(*place).agg(F.collect_list("token").alias("tokens")), key, "nos", "tokens")
     rows = _postings(_picked(docs, key, lists, "tokens"), [*place, "tokens"], levels, num, den)
-    rows = rows.withColumn("shared", F.filter("prefix", lambda k: F.array_contains("tokens", k.bitwiseAND(F.lit(0xFFFFFFFF)))))
+    rows = _computed(rows, shared=F.filter("prefix", lambda k: F.array_contains("tokens", k.bitwiseAND(F.lit(0xFFFFFFFF)))))
     rows = rows.select(*place, "n", *bits, "prefix", "shared", F.posexplode("shared").alias("k", "key"))
-    wide = rows.select("key", _spot(half, F.col("n"), (F.array_position("prefix", F.col("key")) - 1).cast("int")).alias("spot"), *place, *bits, F.slice("shared", F.lit(1), F.col("k")).alias("earlier"))
+    wide = rows.select("key", _spot(half, F.col("n"), (F.array_position("prefix", F.col("key")) - 1).cast("int")).alias("spot"), *place, *bits, F.coalesce(F.slice("shared", F.lit(1), F.col("k")), F.array().cast("array<long>")).alias("earlier"))
     meant = wide.alias("x").join(wide.alias("y"), F.expr(f"x.key = y.key AND {_others(place)} AND {may} AND NOT arrays_overlap(x.earlier, y.earlier)"), "left_semi").select(*place, "key")
     lists = _by_document(meant.groupBy(*place).agg(F.collect_list("key").alias("keys")), key, "nos", "keys")
     # The lines' text is dealt, which is smaller than their words.
-    words = F.size(F.array_distinct(_words(F.col("line")))).alias("n")
-    texts = _picked(docs, key, lists, "keys").select(*place, "line", words, "keys").select(F.explode("keys").alias("key"), *place, "n", "line")
+    words = F.coalesce(F.size(F.array_distinct(_words(F.col("line")))), F.lit(0)).alias("n")
+    # Columns stand as they come from the last step, so both sides are the same and dealt once.
+    texts = _picked(docs, key, lists, "keys").select(*place, "line", words, "keys").select(*place, "line", "n", F.explode("keys").alias("key"))
     split = "array_remove(split({0}.line, r'" + SPACE + "'), '')"
     alike = f"{num + den} * size(array_intersect({split.format('x')}, {split.format('y')})) >= {num} * (x.n + y.n)"
     similar = texts.alias("x").join(texts.alias("y"), F.expr(f"x.key = y.key AND {_before('y', 'x', place)} AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {alike}"), "left_semi")
