@@ -1,6 +1,8 @@
+import random
 from collections import Counter, defaultdict
 
-import corpus_pipeline as P
+import corpus_pipeline
+from treeloom.llm import pipeline as P
 from treeloom.llm.common import checkpointed, table
 from treeloom.llm.simhash import fingerprint
 
@@ -45,6 +47,10 @@ def plain_groups(rows):
     return {ids[k] for k in range(len(ids)) if root[k] == k}
 
 
+def test_entry_names_the_stages():
+    assert corpus_pipeline.STAGES is P.STAGES and corpus_pipeline.run is P.run and [n for n, _ in P.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "mix_sources", "best_fit_packing"]
+
+
 def test_stages_against_brute_force(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     raw, told, lined, alone, mixed, packed = stages(spark, docs, "/root/testdata/sf0.001")
@@ -83,3 +89,23 @@ def test_null_and_repeated_ids_of_unrelated_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = [(r["doc_id"], r["text"]) for r in dict(P.STAGES)["simhash_near_dedup"](spark, df, "").collect()]
     assert sorted(out, key=str) == sorted([(None, a), (None, b), (5, c), (5, d)], key=str)
+
+
+def test_null_repeated_and_equal_rows_through_every_stage(spark):
+    english = "the river went along with them and so did all of those who have been there before us"
+    texts = [" ".join(random.Random(k).choices(english.split(), k=12)) + f" number{k} word{k} thing{k}" for k in range(12)]
+    rows = [(None, t, "en", "a", None) for t in texts[:4]] + [(5, t, "en", None, 7) for t in texts[4:8]] + [(9, texts[8], "en", "b", 1)] * 3 + [(10 + k, t, "en", "b", 1) for k, t in enumerate(texts[9:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    _, told, lined, alone, mixed, packed = (x.collect() for x in stages(spark, df, ""))
+    assert len(told) == len(rows)
+    # Rows of one id and text are one document, and keep the same lines.
+    assert Counter((r["doc_id"], r["text"]) for r in lined) == Counter((i, t) for i, t, *_ in rows)
+    assert Counter((r["doc_id"], r["text"]) for r in alone) == Counter({(i, t) for i, t, *_ in rows})
+    assert {r["text"] for r in mixed} <= set(texts) and sum(len(r["text"].split()) for r in mixed) >= 0.8 * sum(len(r["text"].split()) for r in alone)
+    assert sum(r["n_tokens"] for r in packed) == sum(len(r["text"].split()) for r in mixed)
+
+
+def test_columns_that_are_null_tell_rows_apart(spark):
+    rows = [(1, "some text of words", "x", None), (1, "some text of words", None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert df.select(P._whole(df).alias("w")).distinct().count() == 2
