@@ -5,6 +5,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from treeloom.llm import simhash
 from treeloom.llm.components import components
 from treeloom.llm.simhash import anchors, fingerprint, linked_components, links, op10
 
@@ -88,6 +89,31 @@ def test_large_group_spans_with_few_links(spark):
     assert components(found).count() == len(fps)
 
 
+def test_many_fingerprints_of_one_anchor():
+    """Those of one anchor are divided by bytes of the other half; no link is lost."""
+    rng = random.Random(8)
+    for side in (0, 1):
+        half = rng.getrandbits(32)
+        words = [rng.getrandbits(32) for _ in range(2000)]
+        words += [w ^ sum(1 << b for b in rng.sample(range(32), rng.randint(1, 3))) for w in words] + [rng.getrandbits(32) for _ in range(1000)]
+        fps = np.unique(np.array([half << 32 | w if side else w << 32 | half for w in words], np.uint64))
+        groups = list(simhash._divided(side << 32, fps))
+        assert len(groups) > 100
+        near = {(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3) + i + 1}
+        place = {x: k for k, x in enumerate(fps.tolist())}
+        found = set()
+        for g in groups:
+            for i in range(len(g)):
+                found |= {tuple(sorted((place[int(g[i])], place[int(g[j])]))) for j in np.flatnonzero(np.bitwise_count(g[i + 1 :] ^ g[i]) <= 3) + i + 1}
+        assert found == near and len(near) >= 2000
+
+
+def test_hubs(spark):
+    edges = [(k, 0) for k in range(1, 3000)] + [(5000 + k, 3) for k in range(1500)] + [(9000, 8000)]
+    out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert len(out) == 3000 + 1500 + 2 and set(out.values()) == {0, 8000} and out[9000] == 8000
+
+
 def test_documents_and_edges(spark):
     rows = [(1, "one two three four five"), (2, "One two\tthree four  five"), (3, None), (4, ""), (5, " \n"), (6, "w " * 50_000), (7, "one two three four five"), (7, "one two three four five"), (9, "quite another text about nothing at all")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fingerprint string")

@@ -30,6 +30,8 @@ SHINGLE = 3
 BLOCK = 1 << 16
 #: Pairs of an anchor that are compared at a time.
 COMPARED = 1 << 20
+#: An anchor of more fingerprints is divided by the bytes of the other half.
+DIVIDED = 4096
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -125,6 +127,21 @@ def links_at(fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int
     return out
 
 
+def _divided(key: int, fps: np.ndarray) -> Iterator[np.ndarray]:
+    """The fingerprints of one anchor, in groups that have every two of them that link.
+
+    Where there are many, a group has those of one value of one of the other half's four
+    bytes: of 3 bits that differ, at least one byte has none.
+    """
+    if len(fps) <= DIVIDED:
+        yield fps
+        return
+    for k in range(4):
+        byte = fps >> np.uint64(8 * k + (0 if key >> 32 & 1 else 32)) & np.uint64(0xFF)
+        order = np.argsort(byte, kind="stable")
+        yield from np.split(fps[order], np.flatnonzero(np.diff(byte[order])) + 1)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links from rows sorted by anchor; the last anchor of a batch waits for the next."""
 
@@ -132,7 +149,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.diff(keys)) + 1
         begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
         live = (end - begin > 1) & (np.add.reduceat(homes.astype(np.int64), begin) > 0)
-        return [pair for a, b in zip(begin[live].tolist(), end[live].tolist()) for pair in links_at(fps[a:b])]
+        return [pair for a, b in zip(begin[live].tolist(), end[live].tolist()) for part in _divided(int(keys[a]), fps[a:b]) for pair in links_at(part)]
 
     def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         both = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
