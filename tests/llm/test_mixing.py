@@ -61,6 +61,16 @@ def test_entries_follow_virtual_time(spark):
         at, last = at + taken, finish
 
 
+def test_a_document_beyond_its_sources_target_blocks_no_other(spark):
+    rows = [(0, "w " * 5000, "a")] + [(k, "w " * 10, "abc"[k % 3]) for k in range(1, 151)] + [(k, "w " * 10, "bc"[k % 2]) for k in range(200, 300)]
+    out = op6(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = defaultdict(int)
+    for r in out:
+        got[r["source"]] += r["taken"]
+    assert {r["source"]: r["target"] for r in out} == {"a": 1500.0, "b": 3000.0, "c": 3000.0} and dict(got) == {"a": 1500, "b": 3000, "c": 3000}
+    assert all(r["taken"] == 0 for r in out if r["doc_id"] == 0)
+
+
 def test_empty_and_wordless_tables(spark):
     df, _ = documents(spark)
     assert op6(df.where("false")).collect() == []

@@ -16,7 +16,7 @@ from treeloom.llm.common import checkpointed, ranked
 from treeloom.llm.packing import words
 
 #: Rows of one range of a queue or of virtual time, on average.
-ROWS_A_RANGE = 20_000
+ROWS_A_RANGE = 2_000
 MAX_PASSES = 3
 
 
@@ -60,17 +60,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_
     queue = counted.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy")).withColumn("h", F.xxhash64("doc_id", "copy"))
     number = rows.count()
     ranges = max(1, -(-number // rows_a_range))
-    # The hash is uniform, so ranges of it cut each source's queue evenly.
-    queue = queue.withColumn("cut", F.floor((F.col("h") / float(1 << 64) + 0.5) * ranges))
+    queue = queue.alias("a").join(plan.alias("b"), F.expr("a.source <=> b.source")).select("a.*", "b.target")
+    # The hash is uniform, so ranges of it cut each source's queue evenly. A document of more
+    # than twice its source's target stands behind the rest, as it would never be taken.
+    queue = queue.withColumn("cut", F.when(F.col("size") > 2 * F.col("target"), ranges).otherwise(F.floor((F.col("h") / float(1 << 64) + 0.5) * ranges)))
     sums = queue.groupBy("source", "cut").agg(F.sum("size").alias("n"))
-    before = sums.select("source", "cut", (F.sum("n").over(Window.partitionBy("source").orderBy("cut")) - F.col("n")).alias("before"))
+    usable = F.sum(F.when(F.col("cut") < ranges, F.col("n")).otherwise(0)).over(Window.partitionBy("source"))
+    before = sums.select("source", "cut", (F.sum("n").over(Window.partitionBy("source").orderBy("cut")) - F.col("n")).alias("before"), usable.alias("usable"))
     same = F.expr("a.source <=> b.source AND a.cut = b.cut")
-    placed = queue.alias("a").join(before.alias("b"), same).select("a.*", "b.before")
+    placed = queue.where(F.col("cut") < ranges).alias("a").join(before.alias("b"), same).select("a.*", "b.before", "b.usable")
     inside = Window.partitionBy("source", "cut").orderBy("h", "doc_id", "copy", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("through", F.col("before") + F.sum("size").over(inside)).select("doc_id", "source", "size", "copy", "h", "through")
-    placed = placed.alias("a").join(plan.alias("b"), F.expr("a.source <=> b.source")).select("a.*", "b.source_size", "b.target")
+    placed = placed.withColumn("through", F.col("before") + F.sum("size").over(inside)).select("doc_id", "source", "size", "copy", "h", "through", "target", "usable")
     entries = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1))).alias("pass"))
-    entries = entries.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("through")) / F.col("target"))
+    entries = entries.withColumn("finish", (F.col("pass") * F.col("usable") + F.col("through")) / F.col("target"))
     # Every source is due to end at time 1. An entry that ends after 2 would alone take its
     # source further past its target than leaving it out leaves it short.
     entries = entries.where("finish <= 2").withColumn("slot", F.floor(F.col("finish") * ranges))
@@ -78,7 +80,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_
     kept = entries.join(upto, "slot").where(F.col("start") < budget)
     order = Window.partitionBy("slot").orderBy("finish", "h", "doc_id", "copy", "pass", "source").rowsBetween(Window.unboundedPreceding, 0)
     kept = kept.withColumn("end", F.col("start") + F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size"))
-    return kept.where(F.col("end") - budget <= budget - F.col("start")).select("doc_id", "source", "size", "source_size", "target", "copy", "pass", "finish", "start", F.col("size").alias("taken"))
+    return kept.where(F.col("end") - budget <= budget - F.col("start")).select("doc_id", "source", "size", "target", "copy", "pass", "finish", "start", F.col("size").alias("taken"))
 
 
 def _running(slots: DataFrame) -> DataFrame:
