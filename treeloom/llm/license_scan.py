@@ -4,14 +4,18 @@ The templates' words make k-grams; of each window of neighbouring k-grams the le
 is a fingerprint, and an inverted index maps it to its places in templates. A document's
 fingerprints are winnowed alike, so any run of w + k - 1 words shared with a template
 meets the index. Hits near one diagonal of a template make a candidate, which is aligned
-word by word within a band around it; coverage and span are reported.
+word by word within a band around it; coverage and span are reported. Words weigh by how
+few templates have them, so the word that names a licence counts for more than the rest of
+its notice. Of matches that overlap, the one of the best alignment stays.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from math import log
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,9 +32,6 @@ WINNOW = 3
 #: Part of a template's fingerprints that must be hit near one diagonal.
 LEAST_HITS = 0.2
 MATCH, OTHER = 2, -1
-#: A template of fewer words is a notice, which one other word can turn into another
-#: licence's; it must stand as it is.
-NOTICE_WORDS = 20
 
 
 class Match(NamedTuple):
@@ -78,6 +79,11 @@ class Scanner:
             self.prints.append(len(found))
             for h, j in found:
                 self.index[h].append((t, j))
+        often: dict[int, int] = defaultdict(int)
+        for words in self.words:
+            for w in set(words):
+                often[w] += 1
+        self.weights = [[log(1 + len(templates) / often[w]) ** 2 for w in words] for words in self.words]
 
     def band(self, t: int) -> int:
         return max(4, len(self.words[t]) // 5)
@@ -106,37 +112,39 @@ class Scanner:
                     first = k
         return out
 
-    def aligned(self, t: int, numbers: list[int], low: int, high: int) -> tuple[int, int, int] | None:
-        """Matched words and their span (places of first and last) of the best local
-        alignment whose diagonals lie between ``low`` and ``high``; earliest among equals."""
-        words, best, end = self.words[t], 0, None
-        width = high - low + 1
-        before = [(0, -1, 0)] * (width + 1)  # score, first place, matched words
+    def aligned(self, t: int, numbers: list[int], low: int, high: int) -> tuple[int, int, float, int, int] | None:
+        """Score, matched words, their weight and their span (places of first and last) of
+        the best local alignment whose diagonals lie between ``low`` and ``high``; the
+        earliest among equals."""
+        words, weights, best, end = self.words[t], self.weights[t], 0, None
+        width, number = high - low + 1, len(numbers)
+        nothing = (0, -1, 0, 0.0)
+        before = [nothing] * (width + 1)  # score, first place, matched words, their weight
         for i, w in enumerate(words):
-            row: list[tuple[int, int, int]] = []
-            left = (0, -1, 0)
+            row: list[tuple[int, int, int, float]] = []
+            left = nothing
             for d in range(width):
                 j = i + low + d
-                if not 0 <= j < len(numbers):
-                    cell = (0, -1, 0)
-                else:
-                    score, first, matched = before[d]
-                    same = numbers[j] == w
-                    cell = (score + (MATCH if same else OTHER), j if first < 0 else first, matched + same)
-                    for score, first, matched in (before[d + 1], left):
-                        if score + OTHER > cell[0]:
-                            cell = (score + OTHER, first, matched)
+                cell = nothing
+                if 0 <= j < number:
+                    score, first, matched, weight = before[d]
+                    cell = (score + MATCH, j if first < 0 else first, matched + 1, weight + weights[i]) if numbers[j] == w else (score + OTHER, first, matched, weight)
+                    if before[d + 1][0] + OTHER > cell[0]:
+                        cell = (before[d + 1][0] + OTHER, *before[d + 1][1:])
+                    if left[0] + OTHER > cell[0]:
+                        cell = (left[0] + OTHER, *left[1:])
                     if cell[0] <= 0:
-                        cell = (0, -1, 0)
+                        cell = nothing
                     elif cell[0] > best:
-                        best, end = cell[0], (cell[2], cell[1], j)
+                        best, end = cell[0], (cell[0], cell[2], cell[3], cell[1], j)
                 row.append(cell)
                 left = cell
-            before = [*row, (0, -1, 0)]
+            before = [*row, nothing]
         return end
 
     def scan(self, text: str | None) -> list[Match]:
-        """Matches of a whole text by place; of those of one template that overlap, the best."""
+        """Matches of a whole text by place; of those that overlap, the one of the best
+        alignment, which need not be of the same template."""
         if not text:
             return []
         get = self.numbers.get
@@ -145,20 +153,22 @@ class Scanner:
         for t, low, high in self.candidates(numbers):
             middle, band = (low + high) // 2, self.band(t)
             if hit := self.aligned(t, numbers, min(low, middle - band), max(high, middle + band)):
-                n = len(self.words[t])
-                if hit[0] >= self.min_coverage * n and (n >= NOTICE_WORDS or hit[0] == hit[2] - hit[1] + 1 == n):
-                    found.append((-hit[0] / n, hit[1], hit[2], t, hit[0]))
+                score, matched, weight, first, last = hit
+                coverage = weight / sum(self.weights[t])
+                if coverage >= self.min_coverage:
+                    found.append((-score, -coverage, first, last, t, matched))
         if not found:
             return []
-        found.sort()
+        # Those kept do not overlap, so each new one has to be compared with two neighbours.
         kept: list[tuple] = []
-        for x in found:
-            if not any(x[3] == y[3] and x[1] <= y[2] and y[1] <= x[2] for y in kept):
-                kept.append(x)
+        for _, coverage, first, last, t, matched in sorted(found):
+            k = bisect_left(kept, (first,))
+            if (not k or kept[k - 1][1] < first) and (k == len(kept) or last < kept[k][0]):
+                kept.insert(k, (first, last, t, -coverage, matched))
         spans = [m.span() for m in WORDS.finditer(text)]
         if len(spans) != len(numbers):  # a capital whose small form is not one word
             spans = [m.span() for m in WORDS.finditer(text.lower())]
-        return sorted((Match(self.names[t], round(-c, 6), spans[a][0], spans[b][1], n) for c, a, b, t, n in kept), key=lambda m: (m.start, m.end, m.license))
+        return [Match(self.names[t], round(c, 6), spans[a][0], spans[b][1], n) for a, b, t, c, n in kept]
 
 
 _MATCHES = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("matched", T.IntegerType())]))
@@ -167,9 +177,9 @@ _MATCHES = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T
 def scan(df: DataFrame, templates: dict[str, str], id_col: str = "doc_id", text_col: str = "text", *, min_coverage: float = 0.75) -> DataFrame:
     """``doc_id`` and ``matches``: template, coverage, span in characters, matched words.
 
-    A match covers ``min_coverage`` of the template's words or more, or all of a notice of
-    fewer than 20 words. Null and empty texts
-    and empty templates have none. A row comes out for each row that goes in.
+    A match covers ``min_coverage`` of the template's words or more, by weight; matches do
+    not overlap. Null and empty texts and empty templates have none. A row comes out for
+    each row that goes in; ids may be null or repeat, and other columns are not read.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
