@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -42,6 +43,17 @@ def test_every_format_whole_truncated_and_embedded():
         assert [(x.media_type, x.offset, x.length) for x in regions(host, magic)] == [(kind, 28, len(data))], kind
 
 
+def test_time_grows_with_length():
+    magic, began = automaton(), time.time()
+    for part in (b"%PDF-1", b"%PDF-1 startxref ", b"PK\3\4", b"PK\3\4PK\5\6" + b"\0" * 18, b"\x1f\x8b\x08", b"\x1f\x8b\x08\x08abcdefg", b"GIF89aaaaaaaa,bbbbbbbb ", b"\0\0\0\x08ftyp", b"BM", b"P5 ", b"RIFF"):
+        regions(part * (2_000_000 // len(part)), magic)
+    assert time.time() - began < 60
+    name = io.BytesIO()
+    with gzip.GzipFile("named.txt", "wb", fileobj=name) as f:
+        f.write(b"x" * 3_000_000)
+    assert [(x.media_type, x.offset, x.length) for x in regions(b"ab" + name.getvalue() + b"c", magic)] == [("application/gzip", 2, len(name.getvalue()))]
+
+
 @given(st.binary(max_size=300))
 @settings(max_examples=200, deadline=None)
 def test_regions_stay_inside_and_never_crash(data):
@@ -57,7 +69,7 @@ def test_sniff_corrects_and_carves(spark):
     assert [out[k]["media_type"] for k in range(len(SAMPLES))] == list(SAMPLES)
     assert [out[k]["corrected"] for k in range(3)] == [False, True, True]
     assert out[90]["media_type"] == out[91]["media_type"] == out[92]["media_type"] == UNKNOWN
-    assert out[91]["corrected"] and not out[90]["corrected"]
+    assert not out[91]["corrected"] and not out[90]["corrected"] and out[93]["media_type"] == UNKNOWN and not out[93]["corrected"]
     assert [(r["media_type"], bytes(r["content"])) for r in carve(df.where("doc_id = 93")).orderBy("offset").collect()] == [("image/png", png()), ("image/gif", GIF)]
 
 

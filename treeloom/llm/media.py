@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import ahocorasick
@@ -36,7 +38,52 @@ class Region(NamedTuple):
     payload_length: int = 0
 
 
-def _png(b: bytes, at: int) -> Region | None:
+class Content(bytes):
+    """Bytes that remember what validators found in them, so that many hits of a signature
+    do not search the same rest again."""
+
+    @cached_property
+    def _places(self) -> dict[bytes, list[int]]:
+        return {}
+
+    def next(self, pattern: bytes, at: int) -> int:
+        """The first place of the pattern from ``at`` on, -1 if there is none."""
+        if pattern not in self._places:
+            found, pos = [], self.find(pattern)
+            while pos >= 0:
+                found.append(pos)
+                pos = self.find(pattern, pos + 1)
+            self._places[pattern] = found
+        places = self._places[pattern]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Where the zip archives end that begin at a place: an end record says both."""
+        out: dict[int, int] = {}
+        pos = self.next(b"PK\x05\x06", 0)
+        while 0 <= pos <= len(self) - 22:
+            size, start, note = struct.unpack_from("<IIH", self, pos + 12)
+            at = pos - size - start
+            if at >= 0 and self[at + start : at + start + 4] == b"PK\x01\x02" and pos + 22 + note <= len(self):
+                out.setdefault(at, pos + 22 + note)
+            pos = self.next(b"PK\x05\x06", pos + 1)
+        return out
+
+    @cached_property
+    def inflated(self) -> dict[int, int | None]:
+        """Where the compressed data end that begin at a place, with their sums; None if they
+        are not valid."""
+        return {}
+
+    @cached_property
+    def endless(self) -> set[int]:
+        """Places from which chains of a GIF's blocks run past the end."""
+        return set()
+
+
+def _png(b: Content, at: int) -> Region | None:
     pos = at + 8
     while pos + 12 <= len(b):
         (n,) = struct.unpack_from(">I", b, pos)
@@ -51,7 +98,7 @@ def _png(b: bytes, at: int) -> Region | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> Region | None:
+def _jpeg(b: Content, at: int) -> Region | None:
     pos = at + 2
     while pos + 4 <= len(b):
         if b[pos] != 0xFF:
@@ -77,7 +124,7 @@ def _jpeg(b: bytes, at: int) -> Region | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> Region | None:
+def _gif(b: Content, at: int) -> Region | None:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
@@ -92,13 +139,18 @@ def _gif(b: bytes, at: int) -> Region | None:
             pos += 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
         else:
             return None
-        while pos < len(b) and b[pos]:
+        chain = []
+        while pos < len(b) and b[pos] and pos not in b.endless:
+            chain.append(pos)
             pos += 1 + b[pos]
+        if pos >= len(b) or b[pos]:
+            b.endless.update(chain)
+            return None
         pos += 1
     return None
 
 
-def _bmp(b: bytes, at: int) -> Region | None:
+def _bmp(b: Content, at: int) -> Region | None:
     if at + 30 > len(b):
         return None
     size, reserved, start, header = struct.unpack_from("<IIII", b, at + 2)
@@ -111,7 +163,7 @@ def _bmp(b: bytes, at: int) -> Region | None:
     return Region("image/bmp", at, size, at + start, rows)
 
 
-def _riff(b: bytes, at: int) -> Region | None:
+def _riff(b: Content, at: int) -> Region | None:
     if at + 12 > len(b):
         return None
     (size,) = struct.unpack_from("<I", b, at + 4)
@@ -130,7 +182,7 @@ def _riff(b: bytes, at: int) -> Region | None:
     return Region(kind, at, 8 + size, *payload)
 
 
-def _pgm(b: bytes, at: int) -> Region | None:
+def _pgm(b: Content, at: int) -> Region | None:
     head = b[at : at + 40].split(None, 4)
     if len(head) < 4 or head[0] != b"P5" or not all(x.isdigit() for x in head[1:4]):
         return None
@@ -143,35 +195,56 @@ def _pgm(b: bytes, at: int) -> Region | None:
     return Region("image/x-portable-graymap", at, start + 1 + width * height - at, start + 1, width * height)
 
 
-def _pdf(b: bytes, at: int) -> Region | None:
-    start = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", start)
-    return Region("application/pdf", at, end + 5 - at) if 0 <= start < end and b[at + 5 : at + 6].isdigit() else None
+def _pdf(b: Content, at: int) -> Region | None:
+    if not b[at + 5 : at + 6].isdigit() or (start := b.next(b"startxref", at)) < 0 or (end := b.next(b"%%EOF", start)) < 0:
+        return None
+    return Region("application/pdf", at, end + 5 - at)
 
 
-def _zip(b: bytes, at: int) -> Region | None:
-    pos = at
-    while (pos := b.find(b"PK\x05\x06", pos + 1)) >= 0:
-        if pos + 22 > len(b):
-            return None
-        size, start, note = struct.unpack_from("<IIH", b, pos + 12)
-        if start + size == pos - at and b[at + start : at + start + 4] == b"PK\x01\x02" and pos + 22 + note <= len(b):
-            return Region("application/zip", at, pos + 22 + note - at)
-    return None
+def _zip(b: Content, at: int) -> Region | None:
+    return Region("application/zip", at, b.archives[at] - at) if at in b.archives else None
 
 
-def _gzip(b: bytes, at: int) -> Region | None:
-    reader, rest = zlib.decompressobj(31), b[at:]
+def _inflated(b: Content, start: int) -> int | None:
+    """Where the deflated data at a place end, if they are valid and so are the sums after."""
+    reader, view, pos, check, size = zlib.decompressobj(-15), memoryview(b), start, 0, 0
+    rest: bytes | memoryview = b""
     try:
-        while rest and not reader.eof:
-            reader.decompress(rest, 1 << 20)
+        while not reader.eof:
+            if not len(rest):
+                rest = view[pos : pos + 65536]
+                pos += len(rest)
+                if not len(rest):
+                    return None
+            part = reader.decompress(rest, 1 << 20)
+            check, size = zlib.crc32(part, check), size + len(part)
             rest = reader.unconsumed_tail
     except zlib.error:
         return None
-    return Region("application/gzip", at, len(b) - at - len(reader.unused_data)) if reader.eof else None
+    end = pos - len(reader.unused_data)
+    return end + 8 if b[end : end + 8] == struct.pack("<II", check, size & 0xFFFFFFFF) else None
 
 
-def _ogg(b: bytes, at: int) -> Region | None:
+def _gzip(b: Content, at: int) -> Region | None:
+    pos = at + 10
+    if pos > len(b) or (flags := b[at + 3]) & 0xE0:
+        return None
+    if flags & 4:
+        if pos + 2 > len(b):
+            return None
+        pos += 2 + struct.unpack_from("<H", b, pos)[0]
+    for bit in (8, 16):  # a name, a comment
+        if flags & bit:
+            if (pos := b.next(b"\0", pos) + 1) == 0:
+                return None
+    pos += 2 * bool(flags & 2)
+    if pos not in b.inflated:
+        b.inflated[pos] = _inflated(b, pos)
+    end = b.inflated[pos]
+    return Region("application/gzip", at, end - at) if end else None
+
+
+def _ogg(b: Content, at: int) -> Region | None:
     pos, last = at, False
     while b[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(b) and not last:
         if pos == at and not b[pos + 5] & 2:
@@ -184,11 +257,11 @@ def _ogg(b: bytes, at: int) -> Region | None:
     return Region("application/ogg", at, pos - at) if last else None
 
 
-def _mp4(b: bytes, at: int) -> Region | None:
+def _mp4(b: Content, at: int) -> Region | None:
     pos, kinds = at, []
     while pos + 8 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, pos)
-        if n < 8 or pos + n > len(b) or kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"sidx", b"udta", b"meta", b"uuid"):
+        if n < 8 or pos + n > len(b) or kind not in ((b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"sidx", b"udta", b"meta", b"uuid") if kinds else (b"ftyp",)):
             break
         kinds.append(kind)
         pos += n
@@ -196,7 +269,7 @@ def _mp4(b: bytes, at: int) -> Region | None:
 
 
 #: Fixed values of the formats: magic bytes, where they stand in the file, validator.
-SIGNATURES: list[tuple[bytes, int, Callable[[bytes, int], Region | None]]] = [
+SIGNATURES: list[tuple[bytes, int, Callable[[Content, int], Region | None]]] = [
     (b"\x89PNG\r\n\x1a\n", 0, _png),
     (b"\xff\xd8\xff", 0, _jpeg),
     (b"GIF87a", 0, _gif),
@@ -224,9 +297,9 @@ def regions(content: bytes, magic: ahocorasick.Automaton) -> list[Region]:
     """Valid media by offset; within one that does not start at 0, none is looked for."""
     out: list[Region] = []
     hits = sorted((end + 1 - len(SIGNATURES[k][0]) - SIGNATURES[k][1], k) for end, k in magic.iter(content.decode("latin-1")))
-    inside = 0
+    inside, known = 0, Content(content)
     for at, k in hits:
-        if at >= inside and (region := SIGNATURES[k][2](content, at)):
+        if at >= inside and (region := SIGNATURES[k][2](known, at)):
             out.append(region)
             inside = at + region.length if at else 0
     return out
@@ -259,8 +332,9 @@ def sniff(df: DataFrame, id_col: str = "doc_id", content_col: str = "content", d
     """``media_type``, ``corrected`` and ``embedded`` for each binary content.
 
     Null or empty content, and content of no known format, has the type
-    ``application/octet-stream``; ``corrected`` says that a declared type (null: none) is
-    not the found one. ``embedded`` lists valid media inside: type, offset, length.
+    ``application/octet-stream``; ``corrected`` says that a format was found which is not
+    the declared type (null: none). Known are PNG, JPEG, GIF, BMP, WAV, WebP, AVI, PGM, PDF,
+    zip, gzip, Ogg and MP4. ``embedded`` lists valid media inside: type, offset, length.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(content_col).cast("binary").alias("content"), (F.col(declared_col) if declared_col else F.lit(None)).cast("string").alias("declared"))
 
@@ -271,7 +345,7 @@ def sniff(df: DataFrame, id_col: str = "doc_id", content_col: str = "content", d
             for content, declared in zip(string_column(batch, "content"), string_column(batch, "declared")):
                 found = regions(content or b"", magic)
                 kinds.append(found[0].media_type if found and not found[0].offset else UNKNOWN)
-                wrong.append(declared is not None and declared != kinds[-1])
+                wrong.append(declared is not None and kinds[-1] not in (UNKNOWN, declared))
                 inner.append([{"media_type": x.media_type, "offset": x.offset, "length": x.length} for x in found if x.offset])
             carved = pa.array(inner, pa.list_(pa.struct([("media_type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(wrong, pa.bool_()), carved], names=["doc_id", "media_type", "corrected", "embedded"])
