@@ -9,15 +9,18 @@ COUNTER = PieceCounter(REAL)
 TIES = Vocabulary({"▁": -1.0, "a": -1.0, "b": -1.0, "ab": -2.0, "▁a": -2.0, "ba": -2.0, "aab": -3.0, "bb": -1.0, "abba": -3.0}, False)
 
 
-def tokenizer(v):
+def tokenizer(v, split=True):
     low = min(v.pieces.values())
     extra = [(f"<0x{i:02X}>", low) for i in range(256)] if v.byte_fallback else []
     out = Tokenizer(models.Unigram([("<unk>", low), *extra, *v.pieces.items()], 0, v.byte_fallback))
-    out.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
+    out.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=split)
     return out
 
 
-FULL, SMALL = tokenizer(REAL), tokenizer(TIES)
+# The given vocabulary has pieces of several marks, so texts are not cut for its tokenizer.
+FULL, SMALL = tokenizer(REAL, split=False), tokenizer(TIES)
+MARKS = Vocabulary(TIES.pieces | {"▁▁": -1.5, "▁▁▁▁": -2.0, "▁▁a": -2.25}, False)
+ACROSS = Vocabulary(TIES.pieces | {"a▁b": -1.25}, False)
 
 
 @given(st.text(st.sampled_from("ab ▁\néß日🦊xyz.,0"), max_size=40))
@@ -32,6 +35,13 @@ def test_ties_and_unknown_runs(text):
     assert PieceCounter(TIES).text(text)[0] == len(SMALL.encode(text, add_special_tokens=False).tokens)
 
 
+@given(st.text(st.sampled_from("ab c"), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_pieces_across_marks(text):
+    for v in (MARKS, ACROSS):
+        assert PieceCounter(v).text(text)[0] == len(tokenizer(v, split=False).encode(text, add_special_tokens=False).tokens)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -13,6 +13,7 @@ UTF-8 bytes where the vocabulary has byte pieces, else a run of them counts as o
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -68,6 +69,10 @@ class PieceCounter:
         self.matches = self.found.iter if vocabulary.pieces else lambda word: ()
         self.unknown = min(vocabulary.pieces.values(), default=0.0) - UNKNOWN_PENALTY
         self.byte_fallback = vocabulary.byte_fallback
+        # A text is cut where no piece can reach across: before each mark, or, with pieces
+        # that have several marks at their start, before each run of marks.
+        inner = [x for x in vocabulary.pieces if MARK in x[1:]]
+        self.cut = f"{MARK}[^{MARK}]*" if not inner else f"{MARK}+[^{MARK}]*" if not any(MARK in x.lstrip(MARK) for x in inner) else "(?s).+"
         self.cache: dict[str, tuple[int, float]] = {}
 
     def word(self, word: str) -> tuple[int, float]:
@@ -107,10 +112,11 @@ class PieceCounter:
         if len(cache) > CACHED_WORDS:
             cache.clear()
         number, total = 0, 0.0
-        for word, times in Counter(text.replace(MARK, " ").removeprefix(" ").split(" ")).items():
+        marked = MARK + text.replace(MARK, " ").removeprefix(" ").replace(" ", MARK)
+        for word, times in Counter(re.findall(self.cut, marked)).items():
             found = cache.get(word)
             if found is None:
-                found = self.word(MARK + word)
+                found = self.word(word)
                 if len(word) <= 64:
                     cache[word] = found
             number += times * found[0]
