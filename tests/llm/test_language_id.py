@@ -52,6 +52,12 @@ def test_same_as_plain_compression(spark):
     assert margin == (max(sizes.values()) - min(sizes.values())) / max(sizes.values())
 
 
+def test_held_out_accuracy(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = op4(rows).join(rows.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(found) > 150 and sum(r["lang"] == r["lang_pred"] for r in found) >= 0.97 * len(found)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], T._parse_datatype_string(SCHEMA))
     assert op4(empty).collect() == []
