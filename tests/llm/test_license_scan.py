@@ -77,6 +77,16 @@ def test_degraded_templates_are_found():
     assert hits >= 0.95 * 120 and exact >= 0.9 * 120, (hits, exact)
 
 
+def test_inserted_clauses_hide_nothing():
+    for name in ("MIT", "BSD-3-Clause", "Zlib", "Unlicense"):
+        words = TEMPLATES[name].split()
+        middle = len(words) // 2
+        for n in (33, len(words) // 2):
+            text = " ".join(["lorem"] * 20 + words[:middle] + ["ipsum"] * n + words[middle:] + ["dolor"] * 20)
+            (found,) = SCANNER.scan(text)
+            assert found.license == name and found.coverage > 0.95 and text[found.start : found.end].startswith(words[0].strip('"')) and found.end > text.index("dolor") - 30
+
+
 def test_names_decide_notices():
     for name in (x for x in TEMPLATES if x.startswith("notice:")):
         assert [m.license for m in SCANNER.scan(f"Copyright by us. {TEMPLATES[name]} See there.")] == [name]

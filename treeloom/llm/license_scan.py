@@ -42,6 +42,19 @@ class Match(NamedTuple):
     matched: int
 
 
+class Aligned(NamedTuple):
+    """An alignment: its score, its words' span in the text, matched words and their weight,
+    and its words' span in the template."""
+
+    score: int
+    first: int
+    matched: int
+    weight: float
+    begin: int
+    last: int
+    until: int
+
+
 def _mixed(a: int, b: int, c: int) -> int:
     """A fixed hash of three word numbers, so that winnowing does not favour early words."""
     h = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9 + 1) & 0xFFFFFFFFFFFFFFFF
@@ -112,23 +125,25 @@ class Scanner:
                     first = k
         return out
 
-    def aligned(self, t: int, numbers: list[int], low: int, high: int) -> tuple[int, int, float, int, int] | None:
-        """Score, matched words, their weight and their span (places of first and last) of
-        the best local alignment whose diagonals lie between ``low`` and ``high``; the
-        earliest among equals."""
+    def aligned(self, t: int, numbers: list[int], low: int, high: int) -> Aligned | None:
+        """The best local alignment of a template whose diagonals lie between ``low`` and
+        ``high``; the earliest among equals."""
         words, weights, best, end = self.words[t], self.weights[t], 0, None
         width, number = high - low + 1, len(numbers)
-        nothing = (0, -1, 0, 0.0)
-        before = [nothing] * (width + 1)  # score, first place, matched words, their weight
+        nothing = (0, -1, 0, 0.0, -1)
+        before = [nothing] * (width + 1)  # score, first place, matched words, their weight, first of the template
         for i, w in enumerate(words):
-            row: list[tuple[int, int, int, float]] = []
+            row: list[tuple[int, int, int, float, int]] = []
             left = nothing
             for d in range(width):
                 j = i + low + d
                 cell = nothing
                 if 0 <= j < number:
-                    score, first, matched, weight = before[d]
-                    cell = (score + MATCH, j if first < 0 else first, matched + 1, weight + weights[i]) if numbers[j] == w else (score + OTHER, first, matched, weight)
+                    score, first, matched, weight, begin = before[d]
+                    if numbers[j] == w:
+                        cell = (score + MATCH, j if first < 0 else first, matched + 1, weight + weights[i], i if first < 0 else begin)
+                    else:
+                        cell = (score + OTHER, first, matched, weight, begin)
                     if before[d + 1][0] + OTHER > cell[0]:
                         cell = (before[d + 1][0] + OTHER, *before[d + 1][1:])
                     if left[0] + OTHER > cell[0]:
@@ -136,12 +151,26 @@ class Scanner:
                     if cell[0] <= 0:
                         cell = nothing
                     elif cell[0] > best:
-                        best, end = cell[0], (cell[0], cell[2], cell[3], cell[1], j)
+                        best, end = cell[0], Aligned(*cell[:4], cell[4], j, i)
                 row.append(cell)
                 left = cell
             before = [*row, nothing]
         return end
 
+    def chained(self, t: int, parts: list[Aligned]) -> Iterator[Aligned]:
+        """Alignments of one template, those too short joined with the next one if it goes on
+        in both template and text, with no more words between than the template has: what
+        was put between two clauses does not hide them."""
+        enough, held = self.min_coverage * sum(self.weights[t]), None
+        for part in sorted(set(parts), key=lambda x: x.first):
+            if held and held.until < part.begin and held.last < part.first <= held.last + len(self.words[t]):
+                between = part.first - held.last - 1 + part.begin - held.until - 1
+                joined = Aligned(held.score + part.score + OTHER * between, held.first, held.matched + part.matched, held.weight + part.weight, held.begin, part.last, part.until)
+                part = joined if part.weight < enough else part
+            if part.weight >= enough:
+                yield part
+            held = None if part.weight >= enough else part
+
     def scan(self, text: str | None) -> list[Match]:
         """Matches of a whole text by place; of those that overlap, the one of the best
         alignment, which need not be of the same template."""
@@ -149,14 +178,12 @@ class Scanner:
             return []
         get = self.numbers.get
         numbers = [get(w, -1) for w in WORDS.findall(text.lower())]
-        found = []
+        parts: dict[int, list[Aligned]] = defaultdict(list)
         for t, low, high in self.candidates(numbers):
             middle, band = (low + high) // 2, self.band(t)
             if hit := self.aligned(t, numbers, min(low, middle - band), max(high, middle + band)):
-                score, matched, weight, first, last = hit
-                coverage = weight / sum(self.weights[t])
-                if coverage >= self.min_coverage:
-                    found.append((-score, -coverage, first, last, t, matched))
+                parts[t].append(hit)
+        found = [(-x.score, -x.weight / sum(self.weights[t]), x.first, x.last, t, x.matched) for t, hits in parts.items() for x in self.chained(t, hits)]
         if not found:
             return []
         # Those kept do not overlap, so each new one has to be compared with two neighbours.
