@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from treeloom.llm.common import checkpointed
 
-#: A node is a hub if it has more neighbours than this and than a thousandth of the links.
-#: So there are at most 2000 hubs, whatever the number of links.
-NEIGHBOURS = 1000
+#: A node is a hub if it has more neighbours than this and than a ten-thousandth of the
+#: links. So there are at most 20,000 hubs, whatever the number of links.
+NEIGHBOURS = 100
 
 
 def _stars(edges: DataFrame, number: int, *, large: bool) -> DataFrame:
@@ -17,14 +17,14 @@ def _stars(edges: DataFrame, number: int, *, large: bool) -> DataFrame:
 
     Large stars take all neighbours and re-link those above the node; small stars take
     those below it and re-link them and the node. Each of the ``number`` edges (u, v) has
-    u > v. Neighbours of hubs learn the least one by a broadcast, which is at most 2000 rows,
+    u > v. Neighbours of hubs learn the least one by a broadcast, which is at most 20,000 rows,
     so that no task gathers a hub's neighbours.
     """
     sides = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
     if large:
         sides = sides.unionByName(sides.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = sides.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "b").alias("m"), "n")
-    many = F.col("n") > max(NEIGHBOURS, number // 1000)
+    many = F.col("n") > max(NEIGHBOURS, number // 10_000)
     hubs = sides.join(F.broadcast(least.where(many).select("a", F.col("m").alias("h"))), "a", "left")
     joined = hubs.where("h IS NULL").drop("h").join(least.where(~many).drop("n"), "a").unionByName(hubs.where("h IS NOT NULL").withColumnRenamed("h", "m"))
     if large:
