@@ -32,6 +32,22 @@ def test_query(spark, db, name):
     assert found == wanted and found
 
 
+@pytest.mark.parametrize("name", ["order_line_reports", "order_line_diff_documents"])
+def test_similarities_that_are_ties(spark, tmp_path, name):
+    """1 / 32 has five places, 65 / 128 seven, and both end with a 5 after an even digit."""
+    orders = [(1, 1, "O", "a", 16), (2, 1, "F", "b", 2), (3, 2, "O", "a", 62), (4, 2, "F", "b", 62)]
+    rows = ", ".join(f"({k}, {c}, '{s}', '{p}')" for k, c, s, p, _ in orders)
+    lines = ", ".join(f"({k}, {i})" for k, *_, n in orders for i in range(1, n + 1))
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE orders AS SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus, o_orderpriority FROM (VALUES {rows}) t(o_orderkey, o_custkey, o_orderstatus, o_orderpriority)")
+    con.execute(f"CREATE TABLE lineitem AS SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber FROM (VALUES {lines}) t(l_orderkey, l_linenumber)")
+    for table in ("orders", "lineitem"):
+        con.execute(f"COPY {table} TO '{tmp_path}/{table}.parquet'")
+    wanted = sorted(map(tuple, con.sql(SQL[name]).fetchall()))
+    assert ("0.0312\n" if name == "order_line_reports" else "0.507812") in "".join(r[2] for r in wanted)
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == wanted
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
     assert set(QUERIES) == set(SQL) and set(QUERIES) <= set(entry.queries())

@@ -188,6 +188,12 @@ def _whole(x: Column) -> Column:
     return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
 
 
+def _rounded(x: str, places: int) -> Column:
+    """A number to some places. Ties go to the even digit, as in SQL; format_string takes
+    them up."""
+    return F.expr(f"format_number({x}, '0.{'0' * places}')")
+
+
 def _attr(**values: Column) -> Column:
     return F.concat(*(p for k, v in values.items() for p in (F.lit(f' {k}="'), xml_escaped(v.cast("string")), F.lit('"'))))
 
@@ -206,7 +212,7 @@ def diff_documents(scripts: DataFrame) -> DataFrame:
     measured = similarity(scripts)
     head = F.concat(
         F.lit(f'<?xml version="1.0" ?>\n<idf:diff xmlns:idf="{DIFF_NAMESPACE}"'),
-        _attr(source=F.col("src"), target=F.col("dst"), algorithm=F.col("algorithm"), ted_raw=_whole(F.col("raw_ted")), sim_inverse=F.format_string("%.6f", "sim_inverse"), sim_ratio=F.format_string("%.6f", "sim_ratio")),
+        _attr(source=F.col("src"), target=F.col("dst"), algorithm=F.col("algorithm"), ted_raw=_whole(F.col("raw_ted")), sim_inverse=_rounded("sim_inverse", 6), sim_ratio=_rounded("sim_ratio", 6)),
         F.lit(">\n  <idf:operations"), _attr(count=F.size("ops")), F.lit(">\n"),
     )
     return measured.select("src", "dst", F.concat(head, F.array_join(F.transform("ops", op), ""), F.lit("  </idf:operations>\n</idf:diff>\n")).alias("idf"))
@@ -268,7 +274,7 @@ def report(scripts: DataFrame, at: datetime | None = None) -> DataFrame:
     text = F.concat(
         F.lit("# Country Comparison: "), "src", F.lit(" vs "), "dst", F.lit(f"\n*Generated: {at or datetime.now():%Y-%m-%d %H:%M}*\n\n## Structural Similarity (TED)\n- **Tree Edit Distance**: "), F.col("raw_ted").cast("string"),
         F.lit("\n- **"), "src", F.lit(" nodes**: "), size("src_nodes"), F.lit(", **"), "dst", F.lit(" nodes**: "), size("dst_nodes"),
-        F.lit("\n- **Similarity (inverse)**: "), F.format_string("%.4f", "sim_inverse"), F.lit("\n- **Similarity (ratio)**: "), F.format_string("%.4f", "sim_ratio"), F.lit("\n\n## Edit Operations ("), size("ops"),
+        F.lit("\n- **Similarity (inverse)**: "), _rounded("sim_inverse", 4), F.lit("\n- **Similarity (ratio)**: "), _rounded("sim_ratio", 4), F.lit("\n\n## Edit Operations ("), size("ops"),
         F.lit(" total)\n- Inserts: "), kind("insert"), F.lit("\n- Deletes: "), kind("delete"), F.lit("\n- Relabels: "), kind("relabel"), F.lit("\n\n## Changes by Category\n"), F.array_join(F.transform(F.sort_array(F.transform("groups", lambda g: F.struct(g["k"], g["first"], section(g).alias("text")))), lambda g: g["text"]), "\n"),
     )
     return rows.select("src", "dst", text.alias("report"))
