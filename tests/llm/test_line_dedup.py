@@ -2,8 +2,9 @@ import random
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
-from treeloom.llm.line_dedup import SQL, dedup_lines, op3
+from treeloom.llm.line_dedup import SQL, _words, dedup_lines, op3, rarity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,3 +72,20 @@ def test_edges(spark):
     least = spark.createDataFrame([(-(1 << 63), "a b"), (None, "a b"), (3, "a b")], "doc_id long, text string")
     assert sorted(map(tuple, op3(least).collect()), key=str) == sorted([(None, 1, 0, "a b"), (-(1 << 63), 1, 1, ""), (3, 1, 1, "")], key=str)
     assert op3(df.where("text IS NULL")).count() == 1
+
+
+def test_words_by_any_white_space(spark):
+    lines = ["a b", " a  b ", "a\tb c", "a\rb", "a \x0b\x0c b", "a\xa0b c", "", "  ", "b\r"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", _words(F.col("line")).alias("w")).collect()
+    assert {r["line"]: r["w"] for r in rows} == {x: WORD.findall(x) for x in lines}
+    texts = [(k, f"a{x}b{x}c{x}d{x}e{k}\nq{k}") for k, x in enumerate(["\t", " ", "\r", "  ", "\x0b\x0c", " \t"])]
+    assert found(spark.createDataFrame(texts, "doc_id long, text string"), num=1, den=2) == plain(texts, 1, 2)
+
+
+def test_words_are_counted_before_rows_are_added(spark):
+    """Words are most of the rows; they go into their counts without a union between."""
+    docs = spark.createDataFrame([(1, "a b\na")], "id long, text string")
+    plan = spark.range(1).select(rarity(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Union", 1)[1]
+    levels = spark.range(1).select(rarity(docs).alias("x")).first()["x"]
+    assert sorted(x for x in levels if x) == [3, 4] and len(levels) == 1 << 17

@@ -26,14 +26,22 @@ from pyspark.sql import functions as F
 SLOTS = 1 << 17
 #: The greatest size that has room in a posting; it stands for all greater ones as well.
 MOST = (1 << 16) - 1
-#: Lines of more tokens have bitmaps of 192 bits.
+#: Lines of more tokens have bitmaps of 128 bits.
 WIDE = 90
 SPACE = r"[\x20\x09-\x0D]+"
+#: White space other than blanks.
+OTHER_SPACE = r"[\x09-\x0D]"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
+def _split(line: Column) -> Column:
+    """The words of a line, with empty ones among them. Few lines have white space other than
+    blanks, and to split at a blank takes no regular expression."""
+    return F.when(line.rlike(OTHER_SPACE), F.split(line, SPACE)).otherwise(F.split(line, " "))
+
+
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACE), "")
+    return F.array_remove(_split(line), "")
 
 
 def _slot(hashed: Column) -> Column:
@@ -53,9 +61,11 @@ def rarity(docs: DataFrame) -> Column:
     It is a scalar subquery, so it is computed once and never part of a plan's text. Every
     slot is counted once more than its words, so that none is missing.
     """
-    words = docs.select(F.explode(F.split("text", SPACE)).alias("w")).where("w <> ''").select(_slot(F.xxhash64("w")).alias("slot"))
-    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-    counts = words.unionByName(every).groupBy("slot").count()
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    words = lines.select(F.explode(_split(F.col("line"))).alias("w")).where("w <> ''").select(_slot(F.xxhash64("w")).alias("slot"))
+    # Slots are added to the counts and not to the words, whose rows would leave generated code.
+    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(1).cast("long").alias("count"))
+    counts = words.groupBy("slot").count().unionByName(every).groupBy("slot").agg(F.sum("count").alias("count"))
     level = F.least(F.lit(127), F.floor(3 * F.log2("count"))).cast("tinyint")
     table = counts.agg(F.sort_array(F.collect_list(F.struct("slot", level.alias("level")))).alias("levels"))
     return table.select(F.transform("levels", lambda x: x["level"]).alias("levels")).scalar()
@@ -77,13 +87,13 @@ def _postings(lines: DataFrame, place: list[str], levels: Column, num: int, den:
     size = F.size("keys")
     needed = F.ceil(size * float(num) / den - 1e-9).cast("int")  # of an equal overlap
     # A token flips one bit of 64, or, as 64 leave too little to tell long lines apart, of
-    # 192; the three words of a long line's bitmap together make the one of a short line.
+    # 128; both words of a long line's bitmap together make the one of a short line.
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     none = F.lit(0).cast("long")
-    word = lambda which: F.aggregate("keys", none, lambda acc, k: F.when(k % 3 == which, acc.bitwiseXOR(bit(k))).otherwise(acc))
-    short = F.aggregate("keys", none, lambda acc, k: acc.bitwiseXOR(bit(k)))
+    word = lambda keys: F.aggregate(keys, none, lambda acc, k: acc.bitwiseXOR(bit(k)))
+    part = lambda which: word(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) == which))
     long = size > WIDE
-    return _computed(sized, n=size, bits=F.when(long, word(0)).otherwise(short), bits2=F.when(long, word(1)), bits3=F.when(long, word(2)), prefix=F.slice("keys", F.lit(1), size - needed + 1)).drop("keys")
+    return _computed(sized, n=size, bits=F.when(long, part(0)).otherwise(word(F.col("keys"))), bits2=F.when(long, part(64)), prefix=F.slice("keys", F.lit(1), size - needed + 1)).drop("keys")
 
 
 def _spot(token: Column, n: Column, at: Column) -> Column:
@@ -96,9 +106,9 @@ def _spot(token: Column, n: Column, at: Column) -> Column:
 
 def _may_match(num: int, den: int) -> str:
     """Of lines x and y that share a token: whether they can be similar."""
-    whole = "({0}.bits ^ coalesce({0}.bits2 ^ {0}.bits3, 0))"
+    whole = "({0}.bits ^ coalesce({0}.bits2, 0))"
     differ = f"""CASE WHEN x.bits2 IS NULL OR y.bits2 IS NULL THEN bit_count({whole.format("x")} ^ {whole.format("y")})
-        ELSE bit_count(x.bits ^ y.bits) + bit_count(x.bits2 ^ y.bits2) + bit_count(x.bits3 ^ y.bits3) END"""
+        ELSE bit_count(x.bits ^ y.bits) + bit_count(x.bits2 ^ y.bits2) END"""
     n, at = "((shiftright({0}.spot, 16)) & 65535)", "({0}.spot & 65535)"
     x, y = n.format("x"), n.format("y")
     rest = f"least({x} - {at.format('x')}, {y} - {at.format('y')})"  # tokens from this one on
@@ -135,10 +145,10 @@ def removed_lines(docs: DataFrame, key: list[str], num: int, den: int) -> tuple[
     hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct(*place).alias("at"))
     first = _by_document(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.*"), key, "nos")
     levels = rarity(docs)
-    may, bits = _may_match(num, den), ["bits", "bits2", "bits3"]
+    may, bits = _may_match(num, den), ["bits", "bits2"]
     half = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))  # tokens that share it by chance are told apart later
     rows = _postings(_picked(docs, key, first), place, levels, num, den).select(*place, "n", *bits, F.posexplode("prefix").alias("at", "key"))
-    slim = rows.select(_spot(half, F.col("n"), F.col("at")).alias("spot"), "bits", *place, "bits2", "bits3")
+    slim = rows.select(_spot(half, F.col("n"), F.col("at")).alias("spot"), *bits, *place)
     met = slim.alias("x").join(slim.alias("y"), F.expr(f"shiftrightunsigned(x.spot, 32) = shiftrightunsigned(y.spot, 32) AND {_others(place)} AND {may}"), "left_semi")
     met = met.select(*place, F.shiftrightunsigned("spot", 32).alias("token"))
     # Lines that met, each once, with the tokens at which they did. Similar lines met at the
@@ -150,12 +160,11 @@ def removed_lines(docs: DataFrame, key: list[str], num: int, den: int) -> tuple[
     wide = rows.select("key", _spot(half, F.col("n"), (F.array_position("prefix", F.col("key")) - 1).cast("int")).alias("spot"), *place, *bits, F.coalesce(F.slice("shared", F.lit(1), F.col("k")), F.array().cast("array<long>")).alias("earlier"))
     meant = wide.alias("x").join(wide.alias("y"), F.expr(f"x.key = y.key AND {_others(place)} AND {may} AND NOT arrays_overlap(x.earlier, y.earlier)"), "left_semi").select(*place, "key")
     lists = _by_document(meant.groupBy(*place).agg(F.collect_list("key").alias("keys")), key, "nos", "keys")
-    # The lines' text is dealt, which is smaller than their words.
-    words = F.coalesce(F.size(F.array_distinct(_words(F.col("line")))), F.lit(0)).alias("n")
+    # The lines' different words are dealt as one text, which is smaller than they are as an array.
+    words = F.array_distinct(_words(F.col("line")))
     # Columns stand as they come from the last step, so both sides are the same and dealt once.
-    texts = _picked(docs, key, lists, "keys").select(*place, "line", words, "keys").select(*place, "line", "n", F.explode("keys").alias("key"))
-    split = "array_remove(split({0}.line, r'" + SPACE + "'), '')"
-    alike = f"{num + den} * size(array_intersect({split.format('x')}, {split.format('y')})) >= {num} * (x.n + y.n)"
+    texts = _computed(_picked(docs, key, lists, "keys"), words=words).select(*place, F.array_join("words", " ").alias("line"), F.size("words").alias("n"), F.explode("keys").alias("key"))
+    alike = f"{num + den} * size(array_intersect(split(x.line, ' '), split(y.line, ' '))) >= {num} * (x.n + y.n)"
     similar = texts.alias("x").join(texts.alias("y"), F.expr(f"x.key = y.key AND {_before('y', 'x', place)} AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {alike}"), "left_semi")
     return first, similar.select(*place).distinct()
 
