@@ -19,31 +19,41 @@ then line number) has a Jaccard similarity of at least ``num / den`` with it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Slots of the rarity table. It has one byte for each slot, at any size of input.
 SLOTS = 1 << 17
+#: Slots that are counted side by side in one row, so that a task's counts stay few rows.
+BESIDE = 4
 #: The greatest size that has room in a posting; it stands for all greater ones as well.
 MOST = (1 << 16) - 1
-#: Lines of more tokens have bitmaps of 128 bits.
+#: Lines of more tokens have bitmaps of 64 bits of all tokens and of half of them.
 WIDE = 90
 SPACE = r"[\x20\x09-\x0D]+"
-#: White space other than blanks.
-OTHER_SPACE = r"[\x09-\x0D]"
-HAS_WORD = r"[^\x20\x09-\x0D]"
+#: White space other than blanks and line feeds.
+OTHER_SPACE = "\t\r\x0b\x0c"
 
 
-def _split(line: Column) -> Column:
-    """The words of a line, with empty ones among them. Few lines have white space other than
-    blanks, and to split at a blank takes no regular expression."""
-    return F.when(line.rlike(OTHER_SPACE), F.split(line, SPACE)).otherwise(F.split(line, " "))
+def _split(text: Column, plain: Column | None = None) -> Column:
+    """The words of a text, with empty ones among them. Few texts have white space other than
+    blanks (``plain``, if given, is the text with blanks as its line feeds); to look for it,
+    and to split at a blank, takes no regular expression."""
+    other = reduce(or_, (F.contains(text, F.lit(c)) for c in OTHER_SPACE))
+    return F.when(other, F.split(text, SPACE)).otherwise(F.split(text if plain is None else plain, " "))
 
 
 def _words(line: Column) -> Column:
     return F.array_remove(_split(line), "")
 
 
+def has_word(line: Column) -> Column:
+    return F.ltrim(line, F.lit(f" \n{OTHER_SPACE}")) != ""
+
+
 def _slot(hashed: Column) -> Column:
     return hashed.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
@@ -61,14 +71,15 @@ def rarity(docs: DataFrame) -> Column:
     It is a scalar subquery, so it is computed once and never part of a plan's text. Every
     slot is counted once more than its words, so that none is missing.
     """
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    words = lines.select(F.explode(_split(F.col("line"))).alias("w")).where("w <> ''").select(_slot(F.xxhash64("w")).alias("slot"))
+    words = docs.select(F.explode(_split(F.col("text"), F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''").select(_slot(F.xxhash64("w")).alias("slot"))
+    beside = [f"n{k}" for k in range(BESIDE)]
+    words = words.groupBy(F.expr(f"slot div {BESIDE}").cast("int").alias("row")).agg(*(F.count_if(F.col("slot") % BESIDE == k).alias(n) for k, n in enumerate(beside)))
     # Slots are added to the counts and not to the words, whose rows would leave generated code.
-    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(1).cast("long").alias("count"))
-    counts = words.groupBy("slot").count().unionByName(every).groupBy("slot").agg(F.sum("count").alias("count"))
-    level = F.least(F.lit(127), F.floor(3 * F.log2("count"))).cast("tinyint")
-    table = counts.agg(F.sort_array(F.collect_list(F.struct("slot", level.alias("level")))).alias("levels"))
-    return table.select(F.transform("levels", lambda x: x["level"]).alias("levels")).scalar()
+    every = docs.sparkSession.range(SLOTS // BESIDE).select(F.col("id").cast("int").alias("row"), *(F.lit(1).cast("long").alias(n) for n in beside))
+    counts = words.unionByName(every).groupBy("row").agg(*(F.sum(n).alias(n) for n in beside))
+    level = F.array(*(F.least(F.lit(127), F.floor(3 * F.log2(n))).cast("tinyint") for n in beside))
+    table = counts.agg(F.sort_array(F.collect_list(F.struct("row", level.alias("level")))).alias("levels"))
+    return table.select(F.flatten(F.transform("levels", lambda x: x["level"])).alias("levels")).scalar()
 
 
 def _key(hashed: Column, levels: Column) -> Column:
@@ -82,18 +93,17 @@ def _postings(lines: DataFrame, place: list[str], levels: Column, num: int, den:
     and bitmaps. The prefix of n tokens is as long as lets a similar line avoid the rest."""
     # The table's column has a single use in the next projection, into which it is merged;
     # rows never carry it.
-    keys = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: _key(F.xxhash64(w), F.col("__levels")))))
+    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))  # apart, as a key uses one several times
+    keys = F.sort_array(F.array_distinct(F.transform(hashes, lambda h: _key(h, F.col("__levels")))))
     sized = lines.withColumn("__levels", levels).select(*place, keys.alias("keys"))
     size = F.size("keys")
     needed = F.ceil(size * float(num) / den - 1e-9).cast("int")  # of an equal overlap
-    # A token flips one bit of 64, or, as 64 leave too little to tell long lines apart, of
-    # 128; both words of a long line's bitmap together make the one of a short line.
+    # A token flips one bit of 64. As these leave too little to tell long lines apart, such a
+    # line has a second bitmap, of the tokens that one bit of their keys picks.
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    none = F.lit(0).cast("long")
-    word = lambda keys: F.aggregate(keys, none, lambda acc, k: acc.bitwiseXOR(bit(k)))
-    part = lambda which: word(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) == which))
-    long = size > WIDE
-    return _computed(sized, n=size, bits=F.when(long, part(0)).otherwise(word(F.col("keys"))), bits2=F.when(long, part(64)), prefix=F.slice("keys", F.lit(1), size - needed + 1)).drop("keys")
+    word = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
+    picked = F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0)
+    return _computed(sized, n=size, bits=word(F.col("keys")), bits2=F.when(size > WIDE, word(picked)), prefix=F.slice("keys", F.lit(1), size - needed + 1)).drop("keys")
 
 
 def _spot(token: Column, n: Column, at: Column) -> Column:
@@ -106,9 +116,8 @@ def _spot(token: Column, n: Column, at: Column) -> Column:
 
 def _may_match(num: int, den: int) -> str:
     """Of lines x and y that share a token: whether they can be similar."""
-    whole = "({0}.bits ^ coalesce({0}.bits2, 0))"
-    differ = f"""CASE WHEN x.bits2 IS NULL OR y.bits2 IS NULL THEN bit_count({whole.format("x")} ^ {whole.format("y")})
-        ELSE bit_count(x.bits ^ y.bits) + bit_count(x.bits2 ^ y.bits2) END"""
+    differ = """CASE WHEN x.bits2 IS NULL OR y.bits2 IS NULL THEN bit_count(x.bits ^ y.bits)
+        ELSE bit_count(x.bits ^ x.bits2 ^ y.bits ^ y.bits2) + bit_count(x.bits2 ^ y.bits2) END"""
     n, at = "((shiftright({0}.spot, 16)) & 65535)", "({0}.spot & 65535)"
     x, y = n.format("x"), n.format("y")
     rest = f"least({x} - {at.format('x')}, {y} - {at.format('y')})"  # tokens from this one on
@@ -141,7 +150,7 @@ def removed_lines(docs: DataFrame, key: list[str], num: int, den: int) -> tuple[
     """First occurrences of different lines, by document as ``nos``, and those of them that
     are similar to an earlier line, as the document's key and ``no``."""
     place = [*key, "no"]
-    lines = docs.select(*key, F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(HAS_WORD))
+    lines = docs.select(*key, F.posexplode(F.split("text", "\n")).alias("no", "line")).where(has_word(F.col("line")))
     hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct(*place).alias("at"))
     first = _by_document(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.*"), key, "nos")
     levels = rarity(docs)
@@ -193,7 +202,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     kept = first.join(_by_document(similar, key, "gone"), key, "left")
     kept = kept.select(*key, F.coalesce(F.array_except("nos.no", "gone.no"), "nos.no").alias("nos"))
     rows = _computed(docs.join(kept, key, "left"), lines=F.split("text", "\n"))
-    blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~F.get(F.col("lines"), i).rlike(HAS_WORD))
+    blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~has_word(F.get(F.col("lines"), i)))
     none = F.array().cast("array<int>")
     if keep and not repeated:
         # Joined by id at the end, they leave the dealt texts the same for all uses.

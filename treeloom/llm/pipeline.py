@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from treeloom.llm.common import checkpointed, table
 from treeloom.llm.language_id import fit, identify, trained_on
-from treeloom.llm.line_dedup import HAS_WORD, dedup_lines
+from treeloom.llm.line_dedup import dedup_lines, has_word
 from treeloom.llm.mixing import mix
 from treeloom.llm.packing import pack_documents, words
 from treeloom.llm.shingle_sets import roots
@@ -49,7 +49,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents; see ``dedup_lines`` for ids that repeat.
     """
     out = dedup_lines(docs, "doc_id", "text", *(c for c in docs.columns if c != "text"))
-    left = out.where((F.col("n_removed") == 0) | F.col("text").rlike(HAS_WORD))
+    left = out.where((F.col("n_removed") == 0) | has_word(F.col("text")))
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("kept.n_chars")).otherwise(F.char_length("text")).cast("long")}
     return left.select(*(changed[c].alias(c) if c in changed else F.col(f"kept.{c}").alias(c) for c in docs.columns))
 
