@@ -4,7 +4,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from treeloom.llm.line_dedup import SQL, _words, dedup_lines, op3, rarity
+from treeloom.llm.line_dedup import SQL, _words, dedup_lines, has_word, op3, rarity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,3 +89,10 @@ def test_words_are_counted_before_rows_are_added(spark):
     assert "Aggregate" in plan.split("Union", 1)[1]
     levels = spark.range(1).select(rarity(docs).alias("x")).first()["x"]
     assert sorted(x for x in levels if x) == [3, 4] and len(levels) == 1 << 17
+
+
+def test_lines_with_a_word_without_regular_expressions(spark):
+    lines = ["", " ", "\t", "\x0b\x0c\r", "\n \n", "a", " a", "\tb\r", "\xa0", "\u2003", "\x1c", "\x85"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    assert {r["text"]: r["y"] for r in df.select("text", has_word(F.col("text")).alias("y")).collect()} == {x: bool(WORD.search(x)) for x in lines}
+    assert "RLIKE" not in dedup_lines(df)._jdf.queryExecution().optimizedPlan().toString()
